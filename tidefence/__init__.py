@@ -1,0 +1 @@
+"""Spatiotemporal event analytics on Spark DataFrames."""
