@@ -16,6 +16,11 @@ Linking at 3 or fewer differing bits:
 * A fingerprint meets, under each of its keys, those that have the key as their own; survivors of an exact
   bit count are linked. Nothing is missed: the argument above covers every link.
 
+Similarity of shingle sets: 3 of 64 bits is far stricter than a Jaccard similarity of 0.8 (of such pairs here, only one in ten
+is that close). ``alike`` therefore adds links for a stage that is defined by similarity: minimum hashes of the same shingle hashes give
+``TABLES`` keys of ``ROWS`` values; in a bucket, leaders take all members whose sketch agrees with theirs, so a bucket
+costs one comparison per member and leader and gives one candidate per member; candidates are verified on whole shingle sets.
+
 Copies share a fingerprint and are counted before anything is linked, so groups of copies cost one row. Rows of
 one key are compared in blocks inside a task with a union-find that emits at most one link per fingerprint and
 key, never all pairs. Components come from repeated contraction to the smallest neighbour; each round is
@@ -45,23 +50,32 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b101011100011
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """XXH64 of every shingle, in order, repeats included; empty without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     digest = xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return digest(b" ".join(words), 42)
-    votes, total = np.zeros(64, dtype=np.int64), len(words) - n + 1
     joined = b" ".join(words)
+    if len(words) <= n:
+        return np.array([digest(joined, 42)], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    for at in range(0, total, 65_536):
-        stop = min(total, at + 65_536)
-        h = [digest(joined[a:b], 42) for a, b in zip(starts[at:stop].tolist(), ends[at + n - 1 : stop + n - 1].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - n + 1]
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist(), strict=True)), dtype="<u8", count=len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = hashes[at : at + 65_536]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, n: int = 3) -> int:
+    return simhash(shingle_hashes(text, n))
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
@@ -282,11 +296,10 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def group(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs(doc_id, text, ...)."""
-    rows = stored(fingerprints(docs, n), "fingerprints")
+def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """component_id for rows(doc_id, fp), given edges between fingerprints."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    linked = components(links(distinct, most))
+    linked = components(edges)
     members = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     members = stored(members, "members")
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -294,14 +307,144 @@ def group(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
     return skew_join(rows, stored(stats, "stats"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
+def group(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
+    """doc_id, fp, component_id for every row of docs(doc_id, text, ...)."""
+    rows = stored(fingerprints(docs, n), "fingerprints")
+    return _grouped(rows, links(rows.select("fp").distinct(), most))
+
+
+# -- links by similarity of shingle sets ----------------------------------------------------------------
+
+TABLES, ROWS, SKETCH = 12, 4, 128
+_MIX = np.random.default_rng(64).integers(1, 2**63, size=(2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of each of SKETCH mixings of the hashes."""
+    out = np.full(SKETCH, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        out = np.minimum(out, (part[None, :] * _MIX[0][:, None] + _MIX[1][:, None]).min(axis=1))
+    return out
+
+
+def table_keys(low: np.ndarray) -> np.ndarray:
+    rows = low[: TABLES * ROWS].reshape(TABLES, ROWS)
+    key = np.arange(1, TABLES + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        key = (key ^ rows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, fp, keys, sketch (a byte per minimum) for every row; keys and sketch are null without words."""
+
+    @F.pandas_udf("fp long, keys array<long>, sketch binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            h = shingle_hashes(text, n)
+            if not len(h):
+                rows.append((0, None, None))
+                continue
+            low = minima(h)
+            byte = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+            rows.append((np.uint64(simhash(h)).astype(np.int64), table_keys(low), byte.tobytes()))
+        return pd.DataFrame(rows, columns=["fp", "keys", "sketch"]).astype({"fp": "int64"})
+
+    return docs.select("doc_id", sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.fp", "s.keys", "s.sketch")
+
+
+def _lead(least: float, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches come sorted by key. Per key: the first open row leads all open rows whose sketch agrees enough; repeated for the rest."""
+    held: list[pd.DataFrame] = []
+
+    def emit(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows["key"].to_numpy(np.int64)
+        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        doc, fp = rows["doc_id"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64)
+        a, b, x, y = [], [], [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            sketch = np.frombuffer(b"".join(rows["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, SKETCH)
+            open_ = np.argsort(doc[lo:hi], kind="stable")
+            while len(open_) > 1:
+                lead, rest = open_[0], open_[1:]
+                near = (sketch[rest] == sketch[lead]).mean(axis=1) >= least
+                took = rest[near]
+                a.append(np.full(len(took), doc[lo + lead]))
+                x.append(np.full(len(took), fp[lo + lead]))
+                b.append(doc[lo + took])
+                y.append(fp[lo + took])
+                open_ = rest[~near]
+        if not a:
+            return pd.DataFrame({"a": [], "fp_a": [], "b": [], "fp_b": []}, dtype="int64")
+        return pd.DataFrame({"a": np.concatenate(a), "fp_a": np.concatenate(x), "b": np.concatenate(b), "fp_b": np.concatenate(y)})
+
+    for batch in it:
+        if not len(batch):
+            continue
+        last = batch["key"].iloc[-1]
+        held.append(batch)
+        if batch["key"].iloc[0] == last and held[0]["key"].iloc[0] == last:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        cut = int(np.searchsorted(rows["key"].to_numpy(), last))
+        held = [rows.iloc[cut:]]
+        yield emit(rows.iloc[:cut])
+    if held:
+        yield emit(pd.concat(held, ignore_index=True))
+
+
+def alike(docs: DataFrame, sketched: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(a, b): links between fingerprints of rows whose sets of n-word shingles have at least that Jaccard similarity.
+
+    A pair of that similarity is missed with a probability under 0.2 %. sketched: what sketches() gives for docs.
+    """
+    one = sketched.filter("sketch is not null and doc_id is not null").groupBy("fp", "sketch").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    keyed = one.select(F.explode("keys").alias("key"), "doc_id", "fp", "sketch")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    pairs = keyed.mapInPandas(lambda it: _lead(similarity - 0.12, it), "a long, fp_a long, b long, fp_b long").filter("fp_a <> fp_b").distinct()
+    pairs = stored(pairs, "candidates")
+    ids = stored(pairs.select(F.col("a").alias("doc_id"), F.col("fp_a").alias("fp")).union(pairs.select("b", "fp_b")).distinct(), "candidate-ids")
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, n)).view(np.int64) for t in texts])
+
+    few = ids.count() <= broadcast_ids  # 16 bytes each
+    near = F.broadcast(ids) if few else ids
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, "doc_id")
+    sets = stored(sets.select("doc_id", "fp", shingles("text").alias("s")).dropDuplicates(["doc_id", "fp"]), "sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("fp_a"), F.col("s").alias("s_a")), sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("fp_b"), F.col("s").alias("s_b"))
+
+    @F.pandas_udf("double")
+    def jaccard(p: pd.Series, q: pd.Series) -> pd.Series:
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p, q, strict=True)]
+        return pd.Series([c / (len(x) + len(y) - c) for c, x, y in zip(both, p, q, strict=True)], dtype="float64")
+
+    good = pairs.join(left, ["a", "fp_a"]).join(right, ["b", "fp_b"]).filter(jaccard("s_a", "s_b") >= similarity)
+    return good.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+
+
+def group_alike(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
+    """Like group, with links of both kinds: fingerprints within most bits, and shingle sets of at least that similarity."""
+    rows = stored(sketches(docs, n), "sketches")
+    edges = links(rows.select("fp").distinct(), most).unionByName(alike(docs, rows, n, similarity)).distinct()
+    return _grouped(rows.select("doc_id", "fp"), edges)
+
+
 def digest(grouped: DataFrame) -> DataFrame:
     """The fingerprint as 16 lower-case hex digits."""
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
-    """Of each component the row with the smallest id; of rows that repeat that id, one. Rows without an id stay."""
-    kept = group(docs, n, most).filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.count("*").alias("copies"))
+def keep_one(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
+    """Of each component of group_alike the row with the smallest id; of rows that repeat that id, one. Rows without an id stay."""
+    kept = group_alike(docs, n, most, similarity).filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.count("*").alias("copies"))
     kept = stored(kept, "kept")
     same = docs.join(kept.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     if kept.filter("copies > 1").head(1):
