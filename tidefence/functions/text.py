@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def short_number(v: Column, digits: int = 15) -> Column:
     """A double with so many significant digits and without trailing zeros, like C's %g, in the JVM.
 
-    Plain notation for exponents from -4 up to digits, else mantissa and an exponent of at least two digits.
+    Plain notation for exponents from -4 up to digits, else mantissa and an exponent of at least two digits. Java's digits are those of the
+    shortest decimal that reads back as the same double, padded with zeros, so from 16 digits on the last ones can differ from C's.
     """
     sci = F.format_string(f"%.{digits - 1}e", v)
     exponent = F.substring_index(sci, "e", -1).cast("int")
@@ -17,7 +18,7 @@ def short_number(v: Column, digits: int = 15) -> Column:
     # the rounded decimal is exact, so printing it with many places and stripping zeros prints the digits alone
     plain = strip(sci.cast("decimal(38,20)").cast("string"))
     mantissa = strip(F.substring_index(sci, "e", 1))
-    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), padded(F.abs(exponent), 2))
     small = (exponent >= -4) & (exponent < digits)
     return F.when(v.isNull(), None).when(v == 0, F.when(F.format_string("%.1f", v).startswith("-"), "-0").otherwise("0")).when(small, plain).otherwise(F.concat(mantissa, F.lit("e"), power))
 

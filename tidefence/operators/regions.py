@@ -123,7 +123,6 @@ def with_edges(polygons: DataFrame) -> DataFrame:
     out = polygons.withColumn("shell", shell)
     edge = lambda i: F.struct(*[F.get("shell", i + (k - 1))[c].alias(f"{c}{k}") for k in (1, 2) for c in "xy"])
     out = out.withColumn("edges", F.transform(F.sequence(F.lit(0), F.size("shell") - 2), edge))
-    for c in "xy":
-        for f in ("min", "max"):
-            out = out.withColumn(f"{f}_{c}", getattr(F, f"array_{f}")(F.transform("shell", lambda p, c=c: p[c])))
+    xs, ys = F.transform("shell", lambda p: p["x"]), F.transform("shell", lambda p: p["y"])
+    out = out.withColumns({"min_x": F.array_min(xs), "min_y": F.array_min(ys), "max_x": F.array_max(xs), "max_y": F.array_max(ys)})
     return out.select("name", "rank", "crs", "shell", "edges", "min_x", "min_y", "max_x", "max_y")
