@@ -69,7 +69,7 @@ def literal_rows(spark: SparkSession, values: list[int], name: str, position: st
     return rows.withColumn(name, F.col(name).cast("long"))
 
 
-def text_blocks(text: str, size: int = 2_000_000) -> Iterator[str]:
+def text_blocks(text: str, size: int = 500_000) -> Iterator[str]:
     """The whole text in blocks of about size characters, cut only where a character is not a letter, digit or mark."""
     at = 0
     while len(text) - at > size:

@@ -143,7 +143,7 @@ class ContextTrees:
             out[:, j] = np.bincount(owner, weights=cost[:, j], minlength=len(words))
         return out
 
-    def predict(self, texts: pd.Series, chunk_chars: int = 3_000_000) -> pd.DataFrame:
+    def predict(self, texts: pd.Series, chunk_chars: int = 800_000) -> pd.DataFrame:
         """Texts are scored in chunks of about chunk_chars characters, which bounds memory and changes no result."""
         total = np.zeros((len(texts), len(self.languages)))
         lettered = np.zeros(len(texts), dtype=bool)
