@@ -64,7 +64,7 @@ def peaks(samples: bytes, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, frames, block):
         n = min(block, frames - at)
         part = x[at * HOP : (at + n - 1) * HOP + FRAME].astype(np.float32) - 128
-        part = np.pad(part, (0, (n - 1) * HOP + FRAME - len(part)))
+        part = np.pad(part, (0, (n - 1) * HOP + FRAME - len(part)), mode="edge")
         view = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         size = np.abs(np.fft.rfft((view - view.mean(axis=1, keepdims=True)) * _WINDOW, axis=1)).astype(np.float32)
         level[at : at + n] = size.mean(axis=1)
