@@ -498,5 +498,57 @@ def compare_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.compare_rows(a, b, ["seq", "region"])
 
 
+# -- graphs and geometry functions ------------------------------------------------------------------
+
+_NUM = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE rtrim(printf('%.2f', {0}), '0') END"
+_OBS = "https://example.org/tidefence/resource/observation/"
+
+
+@query(
+    f"""SELECT event_id AS seq, '<{_OBS}' || n || '> a sosa:Observation ;' || chr(10)
+|| '  sosa:hasFeatureOfInterest <https://example.org/tidefence/resource/instance/' || user_id || '> ;' || chr(10)
+|| '  sosa:observedProperty <https://example.org/tidefence/resource/property/position> ;' || chr(10)
+|| '  sosa:madeBySensor <https://example.org/tidefence/resource/sensor/' || event_type || '> ;' || chr(10)
+|| '  sosa:hasResult <{_OBS}' || n || '/result> ;' || chr(10)
+|| '  sosa:resultTime "' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00"^^xsd:dateTime ;' || chr(10)
+|| '  st:modality st:Observed .' || chr(10)
+|| '<{_OBS}' || n || '/result> a geo:Geometry, sosa:Result ;' || chr(10)
+|| '  geo:asWKT "<{CRS}> POINT (' || {_NUM.format("value")} || ' ' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ')"^^geo:wktLiteral .' || chr(10) AS text
+FROM (SELECT *, CASE WHEN event_id + 1 < 10000 THEN lpad(CAST(event_id + 1 AS VARCHAR), 4, '0') ELSE CAST(event_id + 1 AS VARCHAR) END AS n FROM events)"""
+)
+def sosa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an observation with its result, in the graph text."""
+    from .plans.rdf import sosa
+
+    e = events(spark, sf_dir)
+    o = e.select(
+        F.col("event_id").alias("seq"),
+        F.col("user_id").cast("string").alias("subject"),
+        F.lit("position").alias("property"),
+        F.col("event_type").alias("source"),
+        F.col("value").alias("x"),
+        F.get_json_object("props", "$.k").cast("double").alias("y"),
+        F.lit(CRS).alias("crs"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("observed_at_text"),
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("double").alias("accuracy_m"),
+    )
+    return sosa(o).filter("section = 7").select(F.col("name").try_cast("long").alias("seq"), "text")
+
+
+@query(f"WITH {_MEMBERS} SELECT subject, seq, region, strict AS within, covered AS intersects, on_boundary AS touches FROM members")
+def wkt_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same predicates through WKT literals; each literal is parsed once, polygons before the join."""
+    from .functions import wkt as W
+
+    text = T.point_wkt(F.col("x"), F.col("y"), F.lit(CRS))
+    m = moves(spark, sf_dir).withColumn("p", F.get(W.coordinates(text), F.lit(0)))
+    # five rows of fixed size
+    zones = region_table(spark, ZONES).select(F.col("name").alias("region"), W.edges_of(T.polygon_wkt(F.col("shell"), F.col("crs"))).alias("e"))
+    x, y, e = F.col("p.x"), F.col("p.y"), F.col("e")
+    pairs = m.crossJoin(F.broadcast(zones))
+    return pairs.select("subject", "seq", "region", G.within(x, y, e).alias("within"), G.covered_by(x, y, e).alias("intersects"), G.on_boundary(x, y, e).alias("touches"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossing_counts_by_zone(spark, sf_dir)
