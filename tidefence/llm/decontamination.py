@@ -253,7 +253,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, min
         return pd.DataFrame(rows, columns=["keep", "text"])
 
     name = fresh(docs, "decontaminated")
-    done = docs.withColumn(name, clean(F.col("text").cast("string"))).filter(F.col(name)["keep"])
+    # marked so that the filter and the projection share one call
+    done = docs.withColumn(name, clean.asNondeterministic()(F.col("text").cast("string"))).filter(F.col(name)["keep"])
     columns = []
     for c, kind in docs.dtypes:
         if c == "text":
