@@ -101,6 +101,14 @@ def test_set_based_sustained_against_fold(spark, seed):
     assert sorted((r.subject, r.kind, r.region, us(r.ts)) for r in c) == sorted(x[:4] for x in want if not x[1].startswith("sustained"))
 
 
+def test_time_buckets_change_nothing(spark):
+    m = frame(spark, random_rows(11))
+    columns = ["subject", "seq", "step", "region", "kind"]
+    want = sorted(E.crossings(m, [Z, Y]).select(columns).collect())
+    for bucket in ("minute", "hour", "year"):
+        assert sorted(E.crossings(m, [Z, Y], bucket).select(columns).collect()) == want
+
+
 def test_first_sample_and_segments_emit_nothing(spark):
     c = E.crossings(frame(spark, [("a", 0, 5), ("b", 0, -5), ("b", 1, 25)]), [Z, Y])
     assert c.count() == 0

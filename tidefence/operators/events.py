@@ -76,16 +76,32 @@ def _by_subject(*order: str) -> Window:
     return Window.partitionBy("subject").orderBy(*order)
 
 
-def with_steps(moves: DataFrame, regions: list[Region]) -> DataFrame:
-    """Adds mask, prev_mask (null for a subject's first move) and step (0 for the first)."""
-    w = _by_subject("ts", "seq")
-    m = moves.withColumn("mask", mask_of(moves, regions))
-    return m.withColumn("prev_mask", F.lag("mask").over(w)).withColumn("step", F.row_number().over(w) - 1)
-
+def with_steps(moves: DataFrame, regions: list[Region], bucket: str | None = None) -> DataFrame:
+    """Adds mask, prev_mask (null for a subject's first move) and step (0 for the first).
 
-def crossings(moves: DataFrame, regions: list[Region]) -> DataFrame:
+    bucket (hour, day, month, ...) splits long histories: windows then run within (subject, bucket), and what a bucket needs from
+    the ones before it (one mask, one count) comes from a table of a row per subject and bucket. Use it where
+    single subjects hold a large share of all moves.
+    """
+    m = moves.withColumn("mask", mask_of(moves, regions))
+    if bucket is None:
+        w = _by_subject("ts", "seq")
+        return m.withColumn("prev_mask", F.lag("mask").over(w)).withColumn("step", F.row_number().over(w) - 1)
+    m = m.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    w = Window.partitionBy("subject", "bucket").orderBy("ts", "seq")
+    m = m.withColumn("prev_mask", F.lag("mask").over(w)).withColumn("nth", F.row_number().over(w))
+    ends = m.groupBy("subject", "bucket").agg(F.max_by("mask", F.struct("ts", "seq")).alias("last_mask"), F.count("*").alias("rows"))
+    before = Window.partitionBy("subject").orderBy("bucket")
+    earlier = F.coalesce(F.sum("rows").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("subject", "bucket", F.lag("last_mask").over(before).alias("before_mask"), earlier.alias("before_rows"))
+    m = m.join(ends, ["subject", "bucket"])
+    m = m.withColumn("prev_mask", F.when(F.col("nth") == 1, F.col("before_mask")).otherwise(F.col("prev_mask")))
+    return m.withColumn("step", F.col("before_rows") + F.col("nth") - 1).drop("bucket", "nth", "before_mask", "before_rows")
+
+
+def crossings(moves: DataFrame, regions: list[Region], bucket: str | None = None) -> DataFrame:
     """subject, seq, ts, step, region, rank, kind for every change of membership between a subject's consecutive moves."""
-    changed = with_steps(moves, regions).filter("prev_mask is not null and mask <> prev_mask")
+    changed = with_steps(moves, regions, bucket).filter("prev_mask is not null and mask <> prev_mask")
     rows = []
     for i, r in enumerate(regions):
         bit = F.lit(1 << i).cast("long")

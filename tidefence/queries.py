@@ -171,6 +171,12 @@ def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.crossings(moves(spark, sf_dir), ZONES).select("subject", "seq", "ts", F.col("step").cast("long"), "region", "kind")
 
 
+@query(f"WITH {_CROSSINGS} SELECT subject, seq, ts, step, region, kind FROM crossings")
+def crossings_in_time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with histories split by day, for subjects that hold much of the table."""
+    return E.crossings(moves(spark, sf_dir), ZONES, "day").select("subject", "seq", "ts", F.col("step").cast("long"), "region", "kind")
+
+
 @query(f"WITH {_CROSSINGS} SELECT region, count(*) FILTER (kind = 'enters') AS enters, count(*) FILTER (kind = 'leaves') AS leaves FROM crossings GROUP BY region")
 def crossing_counts_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = E.crossings(moves(spark, sf_dir), ZONES).groupBy("region")
