@@ -442,11 +442,15 @@ def digest(grouped: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
-    """Of each component of group_alike the row with the smallest id; of rows that repeat that id, one. Rows without an id stay."""
-    kept = group_alike(docs, n, most, similarity).filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.count("*").alias("copies"))
-    kept = stored(kept, "kept")
-    same = docs.join(kept.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if kept.filter("copies > 1").head(1):
-        same = same.dropDuplicates(["doc_id"])
-    return same.unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """Of each component of group_alike the row with the smallest id; of rows that repeat that id, one. Rows without an id stay.
+
+    The ids that go are broadcast if there are at most broadcast_ids of them (8 bytes each), so texts do not move; more are joined by a shuffle.
+    """
+    ids = group_alike(docs, n, most, similarity).filter("doc_id is not null").groupBy("doc_id")
+    ids = stored(ids.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")), "ids")
+    gone = ids.filter("not stays").select("doc_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if ids.filter("stays and rows > 1").head(1):
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept
