@@ -63,7 +63,7 @@ def seat(loads: list[tuple[int, int, int]], shards: int, virtual_nodes: int, cel
     return out
 
 
-def shard(docs: DataFrame, *, shards: int = 16, virtual_nodes: int = 64, cells: int = 16_384, slack: float = 0.001) -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = 16, virtual_nodes: int = 64, cells: int = 16_384, slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of docs(doc_id, text, ...)."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
