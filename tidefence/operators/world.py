@@ -80,6 +80,14 @@ def answers(questions: DataFrame, positions: DataFrame, states: DataFrame, regio
     return q.select("seq", "kind", "subject", "region", "member", text.alias("answer"))
 
 
+def ground_rules(processes: DataFrame, instances: DataFrame) -> DataFrame:
+    """processes(name, rank, entity, ...) and instances(instance, entity, rank): a rule ``name@instance`` for every instance of a
+    process's entity, ranked by process and then by instance."""
+    i = instances.select(F.col("instance").alias("subject"), "entity", F.col("rank").alias("instance_rank"))
+    j = processes.join(i, "entity")
+    return j.withColumn("rule", F.concat_ws("@", "name", F.col("subject").cast("string"))).withColumnRenamed("rank", "process_rank")
+
+
 def topology_matrix(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Every point against every region of the other table: inside, covered, disjoint, boundary. Meant for small corpora."""
     r = regions.select(F.col("name").alias("region"), F.col("crs").alias("region_crs"), "edges")

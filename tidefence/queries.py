@@ -325,6 +325,34 @@ def guarded_duration_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT subject, state, fired FROM ({SQL['guarded_duration_states']})")
+def streamed_duration_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules on a stream of the table."""
+    from .streaming.monitors import monitor
+    from .streaming.sinks import drain, replay
+
+    m = replay(moves(spark, sf_dir), "moves")
+    t = drain(monitor(m, ZONES, GUARDED, initial_state="Safe"), "streamed-states")
+    users = events(spark, sf_dir).select(F.col("user_id").alias("subject")).distinct()
+    out = users.join(t, "subject", "left").groupBy("subject")
+    state = (F.col("entry") == "state") & (F.col("kind") == "transition")
+    order = F.struct("emitted_us", "step", "phase", "seq")
+    last = F.max_by(F.when(state, F.col("to_state")), F.when(state, order))
+    return out.agg(F.coalesce(last, F.lit("Safe")).alias("state"), F.count_if(F.col("kind") == "sustained leaves").alias("fired"))
+
+
+@query(
+    """WITH p(name, rank, entity) AS (VALUES ('leave', 0, 'even'), ('stay', 1, 'odd'), ('come', 2, 'even')),
+i AS (SELECT user_id AS instance, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS entity FROM (SELECT DISTINCT user_id FROM events))
+SELECT name || '@' || instance AS rule, instance AS subject, rank AS process_rank FROM p JOIN i USING (entity)"""
+)
+def grounded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    processes = spark.createDataFrame([("leave", 0, "even"), ("stay", 1, "odd"), ("come", 2, "even")], "name string, rank int, entity string")
+    users = events(spark, sf_dir).select(F.col("user_id").alias("instance")).distinct()
+    instances = users.select("instance", F.when(F.col("instance") % 2 == 0, "even").otherwise("odd").alias("entity"), F.col("instance").alias("rank"))
+    return world.ground_rules(processes, instances).select("rule", "subject", "process_rank")
+
+
 @query(
     "SELECT * FROM (VALUES ('deadline excluded', 3424, 329), ('double duration', 7792, 329), ('emit at deadline', 4368, 333), ('half duration', 10224, 325), "
     "('keep pending after opposite', 1680, 3145), ('move before timers', 3896, 393), ('no guard at deadline', 3832, 330), ('no guard at start', 8304, 331), "
