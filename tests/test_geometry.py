@@ -8,37 +8,15 @@ from tidefence.errors import GeometryError
 from tidefence.functions import geometry as G
 from tidefence.functions import text as T
 from tidefence.functions import wkt as W
-from tidefence.operators import world
+from tidefence.operators import corpus, world
 from tidefence.operators.regions import Point, Region, region_table, side, with_edges
 
 CRS = "http://www.opengis.net/def/crs/OGC/1.3/CRS84"
-SQUARE = ((0, 0), (10, 0), (10, 10), (0, 10))
-TRIANGLE = ((0, 0), (8, 0), (2, 6))
-CONCAVE = ((0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6))
+SQUARE = corpus.SQUARE
 
 
 def profile():
-    """Shapes under transforms, with probes and whether each is within and on the boundary."""
-    shapes = {
-        "square": (SQUARE, [((5, 5), 1, 0), ((11, 5), 0, 0), ((5, 0), 0, 1), ((0, 0), 0, 1), ((1e-10, 5), 1, 0), ((-1e-10, 5), 0, 0)]),
-        "triangle": (TRIANGLE, [((3, 2), 1, 0), ((7, 5), 0, 0), ((4, 0), 0, 1), ((0, 0), 0, 1), ((4, 1e-10), 1, 0), ((4, -1e-10), 0, 0)]),
-        "concave": (CONCAVE, [((1, 3), 1, 0), ((3, 3), 0, 0), ((3, 2), 0, 1), ((2, 2), 0, 1), ((0, 3), 0, 1), ((6, 6), 0, 1)]),
-    }
-    cases = []
-    for shell, probes in shapes.values():
-        for scale, dx, dy in ((0.5, -160.0, -60.0), (1.0, -80.0, -20.0), (2.0, 20.0, 10.0), (0.25, 120.0, 40.0)):
-            move = lambda p, s=scale, x=dx, y=dy: (x + s * p[0], y + s * p[1])
-            cases += [([move(c) for c in shell], move(p), bool(w), bool(b)) for p, w, b in probes]
-    hand = [
-        (SQUARE, (5, 5), True, False), (SQUARE, (11, 5), False, False), (SQUARE, (5, 0), False, True), (SQUARE, (0, 5), False, True),
-        (SQUARE, (0, 0), False, True), (SQUARE, (1e-13, 5), True, False), (SQUARE, (-1e-13, 5), False, False), (CONCAVE, (1, 3), True, False),
-        (CONCAVE, (3, 3), False, False), (CONCAVE, (3, 2), False, True), (CONCAVE, (2, 2), False, True), (SQUARE[::-1], (5, 5), True, False),
-        (((0, 0), (10, 10), (10, 0)), (5, 5), False, True), (((0, 0), (1e-9, 0), (1e-9, 1e-9), (0, 1e-9)), (5e-10, 5e-10), True, False),
-        (((1e9, 1e9), (1e9 + 10, 1e9), (1e9 + 10, 1e9 + 10), (1e9, 1e9 + 10)), (1e9 + 5, 1e9 + 5), True, False),
-        (((0, 0), (1, 0), (1, 1e-12), (0, 1e-12)), (0.5, 5e-13), True, False),
-        (((-10, -10), (-2, -10), (-2, -2), (-10, -2)), (-6, -6), True, False),
-    ]
-    return [(list(s), p, w, b) for s, p, w, b in hand] + cases
+    return [(list(r.shell), p, *flags) for _, r, p, flags in corpus.cases()]
 
 
 def test_corpus_of_89_cases(spark):

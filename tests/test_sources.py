@@ -38,6 +38,11 @@ def test_track_file(spark, tmp_path):
     tracks.write_snapshot(t, str(tmp_path / "snapshot"))
     again = tracks.clean(tracks.classify(tracks.scan(spark, str(tmp_path / "snapshot"))))
     assert again.orderBy("sid", "ts").collect() == t.orderBy("sid", "ts").collect()
+    assert [r.device for r in tracks.numbered(t, 5).orderBy("device").collect()] == [1, 2, 3, 4, 5]
+    from tidefence.operators.regions import region_table
+
+    tracks.write_database_inputs(region_table(spark, [zone]), t, str(tmp_path / "db"))
+    assert spark.read.csv(str(tmp_path / "db" / "samples")).count() == 6 and "POLYGON ((-100 0" in spark.read.csv(str(tmp_path / "db" / "regions")).first()[2]
     bad = tmp_path / "bad.csv"
     bad.write_text("A,B\n1,2\n")
     with pytest.raises(ModelError, match="missing columns"):
@@ -128,6 +133,15 @@ def test_units_and_samples(spark):
     assert measurements.substantive_lines(texts(spark, "a", "", "# c", "// d", " b")).first().lines == 2
 
 
+def test_bindings_and_counters(spark):
+    b = {"subject": "s", "region": "Z", "trigger": "leaves", "fromState": "A", "toState": "B", "durationSeconds": 600, "states": ["A", "B"]}
+    assert documents.bindings(texts(spark, b)).first().duration_us == 600_000_000
+    with pytest.raises(Exception, match="malformed"):
+        documents.bindings(texts(spark, {"subject": "s"})).collect()
+    make = lambda n, t: spark.createDataFrame([("wal", n, t)], "k string, bytes long, reset string")
+    assert stats.counter_difference(make(100, "x"), make(260, "y"), "k").collect() == [("wal", 160)]
+
+
 def test_statistics(spark):
     levels = spark.createDataFrame([(t, p) for t, p in ((1, True), (2, True), (3, False), (4, True), (5, False))], "target int, passed boolean")
     assert [r.standing for r in stats.slo_prefix(levels).orderBy("target").collect()] == ["prefix", "prefix", "first failure", "later pass", "later failure"]

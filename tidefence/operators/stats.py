@@ -57,6 +57,15 @@ def counter_delta(samples: DataFrame, at: str, counter: str, *keys: str) -> Data
     return samples.groupBy(*keys).agg(F.greatest(F.lit(0), last - first).alias("delta"), F.count("*").alias("samples"))
 
 
+def counter_difference(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """After minus before of every numeric column both have, by key; other columns are left out."""
+    whole = {"int", "bigint", "double", "float", "smallint", "tinyint"}
+    kinds = dict(after.dtypes)
+    shared = [c for c, k in before.dtypes if c not in keys and k in whole and kinds.get(c) in whole]
+    j = before.alias("b").join(after.alias("a"), list(keys))
+    return j.select(*keys, *[(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(c) for c in shared])
+
+
 def resource_summary(samples: DataFrame, *keys: str) -> DataFrame:
     """samples(elapsed_s, cpu_percent, memory_bytes, read_bytes): load, memory, and bytes read, with the mean sampling gap."""
     gap = F.col("elapsed_s") - F.lag("elapsed_s").over(Window.partitionBy(*keys).orderBy("elapsed_s"))

@@ -14,7 +14,7 @@ from .functions import geometry as G
 from .functions import text as T
 from .operators import events as E
 from .operators import machine as M
-from .operators import policies, stats, world
+from .operators import corpus, policies, stats, world
 from .operators.regions import Region, region_table
 
 CRS = "urn:local:event-space"
@@ -137,6 +137,15 @@ def topology_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world.topology_matrix(points, region_table(spark, ZONES)).select("x", "y", "region", "inside", "covered", "disjoint", "on_boundary")
 
 
+_CASES = ", ".join(f"('{n}', {w}, {b}, {w or b})" for n, _, _, (w, b) in corpus.cases())
+
+
+@query(f"SELECT * FROM (VALUES {_CASES}) t(name, within, on_boundary, covered)")
+def topology_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """89 cases against their known answers."""
+    return corpus.evaluate(spark)
+
+
 @query(f"WITH {_MOVES} SELECT subject, seq, x, y FROM moves WHERE x BETWEEN {WINDOW[0]} AND {WINDOW[2]} AND y BETWEEN {WINDOW[1]} AND {WINDOW[3]}")
 def bbox_window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves(spark, sf_dir).filter(world.closed_window(F.col("x"), F.col("y"), *WINDOW)).select("subject", "seq", "x", "y")

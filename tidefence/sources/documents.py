@@ -200,6 +200,13 @@ def manifest(texts: DataFrame) -> DataFrame:
     return m.select(F.col("e.key").alias("class"), F.explode("e.value").alias("id"))
 
 
+def bindings(texts: DataFrame) -> DataFrame:
+    """texts(value): a JSON binding each, of what a chart, a policy and a model should say alike."""
+    fields = "subject string, region string, trigger string, fromState string, toState string, durationSeconds double, states array<string>"
+    b = texts.select(F.from_json("value", fields).alias("b")).select("b.*")
+    return complete(b.select("subject", "region", "trigger", F.col("fromState").alias("from_state"), F.col("toState").alias("to_state"), F.bround(F.col("durationSeconds") * 1e6).cast("long").alias("duration_us"), "states"))
+
+
 def match_register(ids: DataFrame, register: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """ids(id) against register(iri) by local name: unmatched, corroborated or ambiguous."""
     from ..functions.text import iri_local_name

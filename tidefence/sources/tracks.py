@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ModelError
 from ..functions.geometry import normal_longitude
-from ..functions.text import short_number
+from ..functions.text import polygon_wkt, short_number
 
 REQUIRED = ("SID", "SEASON", "BASIN", "NAME", "ISO_TIME", "LAT", "LON", "TRACK_TYPE")
 
@@ -73,6 +73,19 @@ def as_moves(tracks: DataFrame, crs: str) -> DataFrame:
     return tracks.withColumn("n", n).filter("n >= 2").select(F.col("sid").alias("subject"), F.col("sample_index").cast("long").alias("seq"), "ts", F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit(crs).alias("crs"))
 
 
+def numbered(tracks: DataFrame, n: int) -> DataFrame:
+    """The first n samples in the order (sid, sample_index), numbered from 1: a sort with a limit, then one small window."""
+    first = tracks.orderBy("sid", "sample_index").limit(n)
+    return first.withColumn("device", F.row_number().over(Window.orderBy("sid", "sample_index")))
+
+
+def write_database_inputs(regions: DataFrame, tracks: DataFrame, path: str) -> None:
+    """CSV folders regions (rank, name, WKT) and samples (sid, index, time, longitude, latitude) for loading elsewhere."""
+    regions.select("rank", "name", polygon_wkt(F.col("shell")).alias("wkt")).write.mode("overwrite").csv(f"{path}/regions")
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tracks.select("sid", "sample_index", time.alias("ts"), short_number(F.col("lon"), 15).alias("lon"), short_number(F.col("lat"), 15).alias("lat")).write.mode("overwrite").csv(f"{path}/samples")
+
+
 def write_snapshot(tracks: DataFrame, path: str) -> None:
     """The normalised CSV in the order (sid, ts): coordinates with ten digits, times in UTC. One file, so meant for snapshots."""
     number = lambda c: short_number(F.col(c), 10)
