@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Lexicon: whole words (``^word$``) and word beginnings (``^stem``) that labelled toxic documents have far
-   more often than labelled clean ones, mined on a bounded sample of labelled rows.
+1. Lexicon: whole words (``^word$``) and word beginnings (``^stem``), once or several times in a document (``^stem x3``), that
+   labelled toxic documents have far more often than labelled clean ones, mined on a bounded sample of labelled rows.
 2. Voters: lexicon entries taken greedily (each one covers the most toxic sample rows not yet covered) plus
    pattern voters on shouting, symbol noise and repetition. A voter fires or not.
 3. Label model: a two-class generative model. Every voter has a firing rate in either class; voters that
@@ -34,7 +34,9 @@ from .common import fresh, remainder, text_blocks
 
 WORD = re.compile(r"[^\W\d_]+")
 UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
-STEMS = range(3, 7)
+STEMS = range(3, 8)
+#: How often an entry must stand in a document to count as an entry of its own.
+TIMES = (1, 2, 3, 5, 8)
 PATTERNS = ("shouting", "symbol noise", "one word over and over", "insult marks")
 
 
@@ -43,6 +45,19 @@ def entries_of(word: str) -> list[str]:
     return [f"^{word}$", *(f"^{word[:k]}" for k in STEMS if len(word) >= k)]
 
 
+def counted(words: Counter) -> Counter:
+    """How often each entry stands in a text with these words."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        for e in entries_of(w):
+            out[e] += n
+    return out
+
+
+def named(entry: str, times: int) -> str:
+    return entry if times == 1 else f"{entry} x{times}"
+
+
 def patterns_of(text: str, words: int, distinct: int) -> list[bool]:
     """Firing of the pattern voters on a whole text."""
     size = max(1, len(text))
@@ -54,36 +69,38 @@ def patterns_of(text: str, words: int, distinct: int) -> list[bool]:
     ]
 
 
-@dataclass(frozen=True)
 class Features:
     """Turns texts into sorted entry numbers; pattern p has number len(lexicon) + p."""
 
-    lexicon: dict[str, int]
+    def __init__(self, lexicon: dict[str, int]) -> None:
+        self.lexicon = lexicon
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for name, i in lexicon.items():
+            entry, _, times = name.partition(" x")
+            self.levels.setdefault(entry, []).append((int(times or 1), i))
 
     def of(self, texts: pd.Series) -> list[list[int]]:
-        cache: dict[str, tuple[int, ...]] = {}
-        lexicon, base, out = self.lexicon, len(self.lexicon), []
+        cache: dict[str, tuple[str, ...]] = {}
+        levels, base, out = self.levels, len(self.lexicon), []
         for text in texts:
             if not text:
                 out.append([])
                 continue
-            found: set[int] = set()
-            distinct: set[str] = set()
-            n = 0
+            words: Counter = Counter()
             for block in text_blocks(text):
-                words = WORD.findall(block.lower())
-                n += len(words)
-                distinct.update(words)
-            for w in distinct:
-                hit = cache.get(w)
-                if hit is None:
-                    hit = tuple(lexicon[e] for e in entries_of(w) if e in lexicon)
-                    if len(cache) < 300_000:
-                        cache[w] = hit
-                if hit:
-                    found.update(hit)
-            found.update(base + p for p, fires in enumerate(patterns_of(text, n, len(distinct))) if fires)
-            out.append(sorted(found))
+                words.update(WORD.findall(block.lower()))
+            hits: Counter = Counter()
+            for w, n in words.items():
+                found = cache.get(w)
+                if found is None:
+                    found = tuple(e for e in entries_of(w) if e in levels)
+                    if len(cache) < 100_000:
+                        cache[w] = found
+                for e in found:
+                    hits[e] += n
+            features = [i for e, n in hits.items() for times, i in levels[e] if n >= times]
+            features += [base + p for p, fires in enumerate(patterns_of(text, words.total(), len(words))) if fires]
+            out.append(sorted(features))
         return out
 
 
@@ -103,11 +120,10 @@ def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             if text:
-                entries: set[str] = set()
+                words: Counter = Counter()
                 for block in text_blocks(text):
-                    for w in set(WORD.findall(block.lower())):
-                        entries.update(entries_of(w))
-                found[toxic].update(entries)
+                    words.update(WORD.findall(block.lower()))
+                found[toxic].update(named(e, t) for e, n in counted(words).items() for t in TIMES if n >= t)
     for toxic, counts in found.items():
         if counts:
             yield pd.DataFrame({"entry": list(counts), "toxic": toxic, "n": list(counts.values())})
