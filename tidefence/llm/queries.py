@@ -75,7 +75,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_FITS = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in sorted(RULES, key=lambda r: -len(r.text))
+)
+_STEM, _END = (f"regexp_extract(s, '(?s)^(.*?)(\\.[A-Za-z]{{1,5}}[0-9]?)?$', {i})" for i in (1, 2))
+_SHAPE = f"""CASE WHEN regexp_matches({_STEM}, '^[0-9]+$') THEN '{{n}}' || {_END}
+WHEN regexp_matches({_STEM}, '^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?$') THEN '{{date}}' || {_END}
+WHEN regexp_matches({_STEM}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({_STEM}, '[0-9]') THEN '{{hex}}' || {_END}
+WHEN regexp_matches({_STEM}, '[0-9]') THEN '{{mixed}}' || {_END} ELSE s END"""
+
+
+def _level(d: int) -> str:
+    """Tree level d of the URL templates from level d - 1."""
+    return f""",
+child{d} AS (SELECT *, segments[{d + 1}] AS child FROM tree{d}),
+taken{d} AS (SELECT host, template, child, sum(n) AS taken FROM child{d} WHERE child IS NOT NULL GROUP BY ALL),
+parent{d} AS (SELECT host, template, sum(taken) AS every, count(*) AS children FROM taken{d} GROUP BY ALL),
+tree{d + 1} AS (
+  SELECT c.key, c.host, c.segments, c.n, c.bad, c.good,
+    CASE WHEN c.child IS NULL THEN c.template WHEN p.children > 24 AND t.taken < p.every * 0.02 THEN list_append(c.template, '*') ELSE list_append(c.template, c.child) END AS template
+  FROM child{d} c LEFT JOIN taken{d} t USING (host, template, child) LEFT JOIN parent{d} p USING (host, template)
+)"""
+
+
 SQL: dict[str, str] = {
+    "op2_url_filter": f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT r, page_id, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
+),
+j AS (SELECT *, CASE {_FITS} END AS rule, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {_SHAPE}) AS segments FROM h),
+k AS (
+  SELECT *, host || '/' || array_to_string(segments, '/') AS key, coalesce(rule IN ('net/', 'example.com/de/'), FALSE) AS bad, coalesce(rule IN ('example.net/en/', 'org/fr/'), FALSE) AS good FROM j
+),
+tree0 AS (SELECT key, host, segments, count(*) AS n, count(*) FILTER (bad) AS bad, count(*) FILTER (good) AS good, CAST([] AS VARCHAR[]) AS template FROM k GROUP BY key, host, segments)"""
+    + "".join(_level(d) for d in range(4))
+    + """,
+tree AS (SELECT key, host, n, bad, good, CASE WHEN len(segments) > 4 THEN list_append(template, '**') ELSE template END AS template FROM tree4),
+t AS (SELECT *, coalesce(template[1], '') AS top, array_to_string(template[2:], '/') AS below FROM tree),
+shapes AS (SELECT host, top, below, sum(n) AS n, sum(bad) AS bad, sum(good) AS good FROM t GROUP BY ALL),
+tops AS (SELECT host, top, arg_max(below, (n, below)) AS most, max(n) AS most_n, sum(n) AS n, sum(bad) AS bad, sum(bad) + sum(good) AS labelled FROM shapes GROUP BY ALL),
+w AS (
+  SELECT *, bad / greatest(labelled, 1) + 1.96 * 1.96 / (2 * greatest(labelled, 1)) AS middle,
+    1.96 * sqrt(bad / greatest(labelled, 1) * (1 - bad / greatest(labelled, 1)) / greatest(labelled, 1) + 1.96 * 1.96 / (4 * greatest(labelled, 1) ** 2)) AS half,
+    1 + 1.96 * 1.96 / greatest(labelled, 1) AS scale FROM tops
+),
+b AS (
+  SELECT host, top, concat_ws(' ', '~', CASE WHEN labelled = 0 THEN 'open' WHEN (middle - half) / scale > 0.5 THEN 'bad' WHEN (middle + half) / scale < 0.5 THEN 'good' ELSE 'open' END,
+    CASE WHEN labelled = 0 THEN 'unlabelled' ELSE 'labelled' END, CAST(CAST(round(most_n / n * 4) AS INT) AS VARCHAR), most) AS branch FROM w
+),
+m AS (SELECT t.*, branch FROM t JOIN b USING (host, top)),
+pooled AS (SELECT host, branch, below, sum(bad) AS bad, sum(good) AS good FROM m GROUP BY ALL),
+v AS (
+  SELECT m.key, '/' || array_to_string(m.template, '/') AS template, CAST((p.bad + 1.0::DOUBLE) / (p.bad + p.good + 4.0::DOUBLE) AS DOUBLE) AS purity
+  FROM m JOIN pooled p USING (host, branch, below)
+)
+SELECT page_id, host, path, rule, CASE WHEN bad THEN 'block' WHEN good THEN 'allow' WHEN purity > 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, purity FROM k JOIN v USING (key)
+""",
     "op9_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
