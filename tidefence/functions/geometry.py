@@ -71,7 +71,8 @@ def exact_orientation(x1: Column, y1: Column, x2: Column, y2: Column, px: Column
 
 
 def orientation(x1: Column, y1: Column, x2: Column, y2: Column, px: Column, py: Column) -> Column:
-    """-1, 0 or 1 for a point right of, on or left of the line through an edge; exact for all finite doubles in range."""
+    """-1, 0 or 1 for a point right of, on or left of the line through an edge; exact where no product of
+    differences over- or underflows, so for ordinates of zero or between 1e-70 and 1e150 in size."""
     left, right = (x2 - x1) * (py - y1), (y2 - y1) * (px - x1)
     det = left - right
     clear = F.abs(det) > (F.abs(left) + F.abs(right)) * DOUBT
