@@ -37,6 +37,13 @@ def test_advert_and_comments_inside_the_article_go():
     assert text(page) == "A heading of the piece\n\nFirst paragraph, long enough to count.\n\nSecond paragraph, long enough too."
 
 
+def test_layout_words_forms_and_own_headings():
+    inner = "<div class='entry-header'><h1>A heading of the piece</h1></div>" + BODY.split("</h1>")[1]
+    for shell in ("<div class='page with-sidebar'><article>{}</article></div>", "<form id='page'><article>{}</article></form>", "<body class='has-comments no-ads'><main>{}</main></body>"):
+        page = NAV + shell.format(inner) + "<div class='sitefooter'><p>Words at the very end of the page</p></div><div class='sideNav'><a href='/'>Go on</a></div>"
+        assert text(page) == WANT
+
+
 def test_odd_pages():
     assert text(None) == text("") == text("<p></p>") == ""
     assert text("<article><p>Unclosed <b>bold<br>next line<p>Another one") == "Unclosed bold next line\n\nAnother one"

@@ -39,17 +39,19 @@ KIND_OF_TAG = {"nav": "menu", "menu": "menu", "header": "header", "footer": "foo
 KIND_OF_HINT = {
     word: kind
     for kind, words in {
-        "advert": "ad ads adbox adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted dfp taboola outbrain",
-        "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc skip tabs",
-        "header": "header masthead topbar branding logo banner",
-        "footer": "footer copyright colophon legal contentinfo",
+        "advert": "ad ads adbox adv advert adverts advertisement advertising adsbygoogle adsense adslot sponsor sponsored promo promotion promoted dfp taboola outbrain",
+        "menu": "nav navbar topnav sidenav subnav mainnav navigation menu menubar breadcrumb breadcrumbs pagination pager toc skip tabs",
+        "header": "header siteheader pageheader masthead topbar branding logo banner",
+        "footer": "footer sitefooter pagefooter copyright colophon legal contentinfo",
         "sidebar": "sidebar aside widget widgets related recommended recommendations trending popular complementary share sharing social follow tags",
-        "comment": "comment comments disqus reply replies respond discussion",
-        "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall toast",
+        "comment": "comment comments commentlist disqus reply replies respond discussion reviews guestbook",
+        "notice": "cookie cookies consent gdpr notice disclaimer interstitial alert popup modal overlay newsletter subscribe subscription signup paywall toast",
         "form": "form login search",
     }.items()
     for word in words.split()
 }
+#: Words before a hint that tell of a page's layout, not of the element.
+LAYOUT = frozenset("has have with without no hide show".split())
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
@@ -92,11 +94,15 @@ class _Parser:
             if HIDDEN.search(attributes):
                 found = "notice"
             for groups in HINTS.findall(attributes):
+                before = ""
                 for word in PARTS.findall("".join(groups)):
-                    found = KIND_OF_HINT.get(word.lower(), found)
+                    if before not in LAYOUT:
+                        found = KIND_OF_HINT.get(word.lower(), found)
+                    before = word.lower()
         if outer not in ("plain", "article"):
-            return "article" if name == "main" else outer
-        if outer == "article" and name == "header":
+            # a whole page may stand in a form
+            return "article" if name == "main" or name == "article" and outer == "form" else outer
+        if outer == "article" and found == "header":
             return outer  # an article's own heading
         return found or outer
 
