@@ -129,24 +129,28 @@ def first_tick(due: DataFrame, ticks: DataFrame, deadline: str, clock: str = "su
     """due with emitted_at: the first tick at or after the deadline, null if there is none.
 
     With the subject's clock, deadlines and moves of a subject are merged and one running value in descending time finds the next
-    tick: O(n log n), no range join. With the global clock, distinct ticks and deadlines are merged by day, and a day's last resort is
-    the first tick of a later day, found on the small table of days.
+    tick: O(n log n), no range join. With the global clock they are merged by minute, and a minute's last resort is the first tick
+    of a later minute of the day or else of a later day, found on a table of a row per minute.
     """
+    t = ticks.select(F.col("ts").alias("tick"), *(["subject"] if clock == "subject" else []))
+    d = due
     if clock == "subject":
-        keys, d, t = ["subject"], due, ticks.select("subject", F.col("ts").alias("tick"))
+        keys = ["subject"]
     else:
-        d = due.withColumn("day", F.date_trunc("day", deadline))
-        t = ticks.select(F.col("ts").alias("tick")).distinct().withColumn("day", F.date_trunc("day", "tick"))
-        keys = ["day"]
-    t = t.distinct()
+        keys = ["minute"]
+        d, t = d.withColumn("minute", F.date_trunc("minute", deadline)), t.withColumn("minute", F.date_trunc("minute", "tick"))
     both = d.withColumn("at", F.col(deadline)).withColumn("is_tick", F.lit(0)).unionByName(t.withColumn("at", F.col("tick")).withColumn("is_tick", F.lit(1)).drop("tick"), allowMissingColumns=True)
     after = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("is_tick").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("emitted_at", F.last(F.when(F.col("is_tick") == 1, F.col("at")), ignorenulls=True).over(after)).filter("is_tick = 0")
     if clock != "subject":
-        days = t.groupBy("day").agg(F.min("tick").alias("first")).unionByName(d.select("day").distinct(), allowMissingColumns=True).groupBy("day").agg(F.min("first").alias("first"))
-        later = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per day
-        days = days.withColumn("later", F.last("first", ignorenulls=True).over(later)).select("day", "later")
-        out = out.join(days, "day", "left").withColumn("emitted_at", F.coalesce("emitted_at", "later")).drop("day", "later")
+        later = lambda w: F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        minutes = t.groupBy("minute").agg(F.min("tick").alias("first")).unionByName(d.select("minute").distinct(), allowMissingColumns=True)
+        minutes = minutes.groupBy("minute").agg(F.min("first").alias("first")).withColumn("day", F.date_trunc("day", "minute"))
+        days = minutes.groupBy("day").agg(F.min("first").alias("first"))
+        days = days.select("day", later(Window.orderBy(F.col("day").desc())).alias("later_day"))  # a row per day
+        minutes = minutes.withColumn("later", later(Window.partitionBy("day").orderBy(F.col("minute").desc()))).join(days, "day")
+        out = out.join(minutes.select("minute", "later", "later_day"), "minute", "left")
+        out = out.withColumn("emitted_at", F.coalesce("emitted_at", "later", "later_day")).drop("minute", "later", "later_day")
     return out.drop("at", "is_tick")
 
 

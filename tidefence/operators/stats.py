@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(value: str | Column, p: float) -> Column:
-    """The smallest value that at least a share p of all values do not exceed; null without values.
-
-    Exact and mergeable: the counts of distinct values are aggregated, not a list of all rows.
-    """
-    v = F.col(value) if isinstance(value, str) else value
-    return F.percentile_disc(p).withinGroup(v) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+def nearest_rank(column: str, p: float) -> Column:
+    """The smallest value that at least a share p of all values do not exceed; null without values."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
 def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -34,7 +30,7 @@ def lag_summary(held: DataFrame) -> DataFrame:
     """Seconds from deadline to emission: how many events, how many on time, median, nearest-rank p95, maximum; zeros without events."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     lag = held.select(((us("emitted_at") - us("effective_at")) / 1e6).alias("lag"))
-    out = lag.agg(F.count("*").alias("events"), F.count_if(F.col("lag") == 0).alias("on_time"), F.percentile("lag", 0.5).alias("median_s"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY lag)").alias("p95_s"), F.max("lag").alias("max_s"))
+    out = lag.agg(F.count("*").alias("events"), F.count_if(F.col("lag") == 0).alias("on_time"), F.percentile("lag", 0.5).alias("median_s"), nearest_rank("lag", 0.95).alias("p95_s"), F.max("lag").alias("max_s"))
     return out.na.fill(0.0)
 
 
@@ -74,7 +70,7 @@ def resource_summary(samples: DataFrame, *keys: str) -> DataFrame:
         F.count("*").alias("samples"),
         F.avg("gap").alias("mean_gap_s"),
         F.avg("cpu_percent").alias("cpu_mean"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY cpu_percent)").alias("cpu_p95"),
+        nearest_rank("cpu_percent", 0.95).alias("cpu_p95"),
         F.max("cpu_percent").alias("cpu_max"),
         F.max("memory_bytes").alias("memory_max"),
         F.greatest(F.lit(0), F.max_by("read_bytes", "elapsed_s") - F.min_by("read_bytes", "elapsed_s")).alias("read_delta"),

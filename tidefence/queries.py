@@ -510,7 +510,7 @@ f AS (SELECT *, sum(CASE WHEN passed THEN 0 ELSE 1 END) OVER (ORDER BY target) A
 SELECT target, passed, CASE WHEN n = 0 THEN 'prefix' WHEN NOT passed AND n = 1 THEN 'first failure' WHEN passed THEN 'later pass' ELSE 'later failure' END AS standing FROM f"""
 )
 def prefix_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("target", F.hour("ts")).groupBy("target")
+    e = events(spark, sf_dir).withColumn("target", F.hour("ts").cast("long")).groupBy("target")
     error = F.col("event_type") == "error"
     runs = e.agg(F.percentile("value", 0.99).alias("p99_ms"), F.count_if(~error).alias("done"), F.count_if(error).alias("skipped"), F.lit(0).alias("failed"))
     return stats.slo_prefix(stats.slo_levels(runs, 250.0, 0.3)).select("target", "passed", "standing")
