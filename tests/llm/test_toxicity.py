@@ -46,6 +46,18 @@ def test_label_model_finds_accuracies_and_correlations():
     assert p[y > 0].mean() > 0.7 > 0.2 > p[y == 0].mean()
 
 
+def test_classifier_takes_repeats_as_no_sign_of_cleanness():
+    r = np.random.default_rng(2)
+    # entry 0 alone marks toxic rows; entry 1 (the same twice) is rare and, by chance, mostly clean
+    rows = [[0]] * 60 + [[0, 1]] * 2 + [[1]] * 6 + [[]] * 300
+    target = np.array([1.0] * 60 + [1.0] * 2 + [0.0] * 6 + (r.random(300) < 0.02).astype(float).tolist())
+    w, bias = X.fit_classifier(rows, target, 2, 2)
+    assert w[0] > 2 and w[1] >= 0 > bias
+    w, bias = X.calibrate(w, bias, rows, target, 0.7)
+    score = 1 / (1 + np.exp(-(bias + w[0])))
+    assert score > 0.7 > 1 / (1 + np.exp(-bias))
+
+
 def test_patterns():
     loud = "THIS IS ALL VERY LOUD NOW!! YES!!"
     assert X.patterns_of(loud, 7, 7)[0]

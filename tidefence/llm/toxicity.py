@@ -211,20 +211,57 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, labelled: np.ndarray,
     return model()
 
 
-def fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    x = np.zeros((len(rows), width), dtype=np.float32)
+def fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, n_lexicon: int) -> tuple[np.ndarray, float]:
+    """Logistic regression whose lexicon weights are not negative: an entry is evidence for toxicity or none, so a text
+    never gains by repeating one. Entries that come out negative are left out and the rest is fitted again."""
+    alike: dict[tuple[int, ...], list[float]] = {}
+    for r, t in zip(rows, target, strict=True):  # most rows are alike, clean ones above all
+        seen = alike.setdefault(tuple(r), [0.0, 0.0])
+        seen[0] += 1
+        seen[1] += t
+    count, positive = np.array(list(alike.values())).T
+    active = np.ones(width, dtype=bool)
+    while True:
+        number = np.cumsum(active) - 1
+        w, bias = newton([[number[f] for f in r if active[f]] for r in alike], count, positive, int(active.sum()))
+        full = np.zeros(width)
+        full[active] = w
+        negative = (full < 0) & (np.arange(width) < n_lexicon)
+        if not negative.any():
+            return full, bias
+        active &= ~negative
+
+
+def newton(rows: list[list[int]], count: np.ndarray, positive: np.ndarray, width: int, rounds: int = 25, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps on rows that stand for count rows with that sum of soft targets; the last
+    column is the intercept, which the ridge leaves alone."""
+    x = np.zeros((len(rows), width + 1))
     for i, f in enumerate(rows):
         x[i, f] = 1
-    w, b = np.zeros(width), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
-    scale = np.maximum(x.sum(1).mean(), 1)
-    vw, vb = np.zeros(width), 0.0
+    x[:, width] = 1
+    penalty = np.full(width + 1, ridge)
+    penalty[width] = 1e-6
+    share = positive.sum() / count.sum()
+    w = np.zeros(width + 1)
+    w[width] = np.log((share + 1e-4) / (1 - share + 1e-4))
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(count @ np.logaddexp(0, z) - positive @ z + 0.5 * (penalty * v * v).sum())
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
-        e = p - target
-        vw = 0.9 * vw - (4 / scale) * (x.T @ e / len(rows) + decay * w)
-        vb = 0.9 * vb - (4 / scale) * e.mean()
-        w, b = w + vw, b + vb
-    return w, b
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        gradient = x.T @ (count * p - positive) + penalty * w
+        step = np.linalg.solve((x * (count * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), gradient)
+        size = 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if now - then < 1e-6 * (1 + now):
+            break
+        now = then
+    return w[:width], float(w[width])
 
 
 def calibrate(weights: np.ndarray, bias: float, rows: list[list[int]], toxic: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
@@ -237,7 +274,7 @@ def calibrate(weights: np.ndarray, bias: float, rows: list[list[int]], toxic: np
     i = int(np.argmax(np.where(last, f1, -1)))
     low = z[order][i + 1] if i + 1 < len(z) else z[order][i] - 1
     cut = (z[order][i] + low) / 2
-    steep = 4 / max(1e-6, min(4.0, z[order][i] - low))  # widens narrow gaps; keeps the order of all scores
+    steep = 1 / max(0.25, min(1.0, z[order][i] - low))  # widens narrow gaps somewhat; keeps the order of all scores
     return weights * steep, (bias - cut) * steep + float(np.log(threshold / (1 - threshold)))
 
 
@@ -279,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out_fold: in
     model = fit_label_model(spread(np.array([r["m"] for r in patterns], dtype=np.int64)), np.array([r["n"] for r in patterns], dtype=float), labelled, toxic)
     # the vote posterior and the label itself are two witnesses of equal standing
     target = 0.5 * model.posterior(labelled) + 0.5 * toxic
-    weights, bias = calibrate(*fit_classifier(rows, target, width), rows, toxic, threshold)
+    weights, bias = calibrate(*fit_classifier(rows, target, width, len(lexicon)), rows, toxic, threshold)
     return Scorer(features, weights, bias)
 
 
