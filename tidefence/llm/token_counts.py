@@ -3,7 +3,7 @@
 Documents are aggregated by encoded length. With suffix sums over the histogram, documents and tokens at least as
 long as any length, totals after truncation to any context limit and exact quantiles need no further pass.
 
-Suffix sums are taken in two levels (lengths, then ranges of 1,024 lengths), so no task holds the whole histogram.
+Suffix sums are taken in two levels (lengths, then ranges of 256 lengths), so no task holds the whole histogram.
 
 Cases: null and empty texts have length 0. An empty table gives an empty histogram. Other columns are ignored.
 """
@@ -29,7 +29,7 @@ def lengths(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     return docs.select("doc_id", count(F.col("text").cast("string")).alias("n_tokens"))
 
 
-def suffix_sums(counts: DataFrame, width: int = 1024) -> DataFrame:
+def suffix_sums(counts: DataFrame, width: int = 256) -> DataFrame:
     """From (n_tokens, n_docs), a row for each length: n_docs, tokens; docs_at_least, tokens_at_least (documents of this length
     or more); truncated_total (all tokens left when every document is cut to this length); share_at_most
     (documents of this length or less, so the q-quantile is the first length with share_at_most >= q)."""
