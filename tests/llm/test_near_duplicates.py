@@ -121,5 +121,28 @@ def test_stage_takes_copies_and_alike_texts(spark, docs, clashing):
     assert got == want and len(set(want.values())) < 60
 
 
+def brute_groups(rows):
+    s = {i: set(N.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    return union([(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])], list(s))
+
+
+def test_members_that_fail_against_a_leader_are_still_linked(spark):
+    """Variants are alike to their base only, whose id is in the middle; and chains in which each text is alike to the next only."""
+    r = random.Random(11)
+    base = " ".join(f"w{r.randrange(5000)}" for _ in range(300))
+    rows = [(i, base if i == 150 else near(r, base, 5)) for i in range(300)]
+    for c in range(4):
+        text = " ".join(f"c{r.randrange(5000)}" for _ in range(300))
+        for k in r.sample(range(40), 40):
+            words = text.split()
+            words[(7 * k) % 300] = f"step{c}.{k}"
+            text = " ".join(words)
+            rows.append((1000 + 100 * c + k, text))
+    want = brute_groups(rows)
+    got = {x.doc_id: x.component_id for x in N.group_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({want[i] for i in range(300)}) < 5
+    assert got == want
+
+
 def test_empty_table(empty):
     assert N.group(empty).count() == 0 and N.keep_one(empty).count() == 0

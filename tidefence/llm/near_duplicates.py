@@ -18,8 +18,10 @@ Linking at 3 or fewer differing bits:
 
 Similarity of shingle sets: 3 of 64 bits is far stricter than a Jaccard similarity of 0.8 (of such pairs here, only one in ten
 is that close). ``alike`` therefore adds links for a stage that is defined by similarity: minimum hashes of the same shingle hashes give
-``TABLES`` keys of ``ROWS`` values; in a bucket, leaders take all members whose sketch agrees with theirs, so a bucket
-costs one comparison per member and leader and gives one candidate per member; candidates are verified on whole shingle sets.
+``TABLES`` keys of ``ROWS`` values; in a bucket, the most central rows lead all members whose sketch agrees with theirs, which gives one
+candidate per member; candidates are verified on whole shingle sets. Then all pairs of a bucket whose sketches agree and that no
+chain of verified links joins are verified too, so a member that fails against its leader still meets every other one. A group that its
+leader joins costs nothing more; one whose members agree at nearly that similarity, but do not reach it, costs a comparison per pair.
 
 Copies share a fingerprint and are counted before anything is linked, so groups of copies cost one row. Rows of
 one key are compared in blocks inside a task with a union-find that emits at most one link per fingerprint and
@@ -356,33 +358,9 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.fp", "s.keys", "s.sketch")
 
 
-def _lead(least: float, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches come sorted by key. Per key: the first open row leads all open rows whose sketch agrees enough; repeated for the rest."""
+def _buckets(emit, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What emit gives for whole keys. Batches come sorted by key; the last key of a batch waits for the next batch."""
     held: list[pd.DataFrame] = []
-
-    def emit(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows["key"].to_numpy(np.int64)
-        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        doc, fp = rows["doc_id"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64)
-        a, b, x, y = [], [], [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            sketch = np.frombuffer(b"".join(rows["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, SKETCH)
-            open_ = np.argsort(doc[lo:hi], kind="stable")
-            while len(open_) > 1:
-                lead, rest = open_[0], open_[1:]
-                near = (sketch[rest] == sketch[lead]).mean(axis=1) >= least
-                took = rest[near]
-                a.append(np.full(len(took), doc[lo + lead]))
-                x.append(np.full(len(took), fp[lo + lead]))
-                b.append(doc[lo + took])
-                y.append(fp[lo + took])
-                open_ = rest[~near]
-        if not a:
-            return pd.DataFrame({"a": [], "fp_a": [], "b": [], "fp_b": []}, dtype="int64")
-        return pd.DataFrame({"a": np.concatenate(a), "fp_a": np.concatenate(x), "b": np.concatenate(b), "fp_b": np.concatenate(y)})
-
     for batch in it:
         if not len(batch):
             continue
@@ -393,22 +371,92 @@ def _lead(least: float, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(held, ignore_index=True)
         cut = int(np.searchsorted(rows["key"].to_numpy(), last))
         held = [rows.iloc[cut:]]
-        yield emit(rows.iloc[:cut])
+        if cut:
+            yield from emit(rows.iloc[:cut])
     if held:
-        yield emit(pd.concat(held, ignore_index=True))
+        yield from emit(pd.concat(held, ignore_index=True))
 
 
-def alike(docs: DataFrame, sketched: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(a, b): links between fingerprints of rows whose sets of n-word shingles have at least that Jaccard similarity.
+def _each(rows: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+    """The rows and sketches of every key with two or more rows."""
+    key = rows["key"].to_numpy(np.int64)
+    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        if hi - lo > 1:
+            yield slice(lo, hi), np.frombuffer(b"".join(rows["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, SKETCH)
 
-    A pair of that similarity is missed with a probability under 0.2 %. sketched: what sketches() gives for docs.
-    """
-    one = sketched.filter("sketch is not null and doc_id is not null").groupBy("fp", "sketch").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    keyed = one.select(F.explode("keys").alias("key"), "doc_id", "fp", "sketch")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    pairs = keyed.mapInPandas(lambda it: _lead(similarity - 0.12, it), "a long, fp_a long, b long, fp_b long").filter("fp_a <> fp_b").distinct()
-    pairs = stored(pairs, "candidates")
+
+def _central(sketch: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of a bucket's rows: those that agree most with each column's commonest value first."""
+    if len(doc) == 2:
+        return np.argsort(doc, kind="stable")
+    common = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8)
+    return np.lexsort((doc, -(sketch == common).sum(axis=1)))
+
+
+def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64)] * 4
+    return pd.DataFrame(dict(zip(("a", "fp_a", "b", "fp_b"), columns, strict=True)))
+
+
+def _lead(least: float, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per key: the most central open row leads all open rows whose sketch agrees enough; repeated for the rest."""
+
+    def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        doc, fp = rows["doc_id"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64)
+        found = []
+        for at, sketch in _each(rows):
+            d, f = doc[at], fp[at]
+            open_ = _central(sketch, d)
+            while len(open_) > 1:
+                lead, rest = open_[0], open_[1:]
+                near = (sketch[rest] == sketch[lead]).mean(axis=1) >= least
+                took = rest[near]
+                found.append((np.full(len(took), d[lead]), np.full(len(took), f[lead]), d[took], f[took]))
+                open_ = rest[~near]
+        yield _frame(found)
+
+    yield from _buckets(emit, it)
+
+
+def _across(least: float, it: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Per key: all pairs of rows of different labels whose sketches agree enough, in frames of about most pairs."""
+
+    def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        doc, fp, label = (rows[c].to_numpy(np.int64) for c in ("doc_id", "fp", "label"))
+        found, held = [], 0
+        for at, sketch in _each(rows):
+            d, f, g = doc[at], fp[at], label[at]
+            if (g == g[0]).all():
+                continue
+            for i in range(len(d) - 1):
+                other = i + 1 + np.flatnonzero(g[i + 1 :] != g[i])
+                for k in range(0, len(other), most):
+                    part = other[k : k + most]
+                    took = part[(sketch[part] == sketch[i]).mean(axis=1) >= least]
+                    if len(took):
+                        found.append((np.full(len(took), d[i]), np.full(len(took), f[i]), d[took], f[took]))
+                        held += len(took)
+                    if held >= most:
+                        yield _frame(found)
+                        found, held = [], 0
+        yield _frame(found)
+
+    yield from _buckets(emit, it)
+
+
+PAIR = "a long, fp_a long, b long, fp_b long"
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, smaller fingerprint first."""
+    swap = F.col("fp_a") > F.col("fp_b")
+    flip = lambda c, other: F.when(swap, F.col(other)).otherwise(F.col(c)).alias(c)
+    return pairs.filter("fp_a <> fp_b").select(flip("a", "b"), flip("fp_a", "fp_b"), flip("b", "a"), flip("fp_b", "fp_a")).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(a, b): fingerprints of the pairs whose sets of n-word shingles have at least that Jaccard similarity."""
     ids = stored(pairs.select(F.col("a").alias("doc_id"), F.col("fp_a").alias("fp")).union(pairs.select("b", "fp_b")).distinct(), "candidate-ids")
 
     @F.pandas_udf("array<long>")
@@ -427,7 +475,25 @@ def alike(docs: DataFrame, sketched: DataFrame, n: int, similarity: float, broad
         return pd.Series([c / (len(x) + len(y) - c) for c, x, y in zip(both, p, q, strict=True)], dtype="float64")
 
     good = pairs.join(left, ["a", "fp_a"]).join(right, ["b", "fp_b"]).filter(jaccard("s_a", "s_b") >= similarity)
-    return good.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+    return good.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+
+
+def alike(docs: DataFrame, sketched: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of rows whose sets of n-word shingles have at least that Jaccard similarity.
+
+    First each bucket's leaders are compared with their rows; then all pairs of a bucket that verified links have not joined.
+    A pair of that similarity is missed with a probability under 0.2 %. sketched: what sketches() gives for docs.
+    """
+    one = sketched.filter("sketch is not null and doc_id is not null").groupBy("fp", "sketch").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda rows: rows.select(F.explode("keys").alias("key"), *[c for c in rows.columns if c != "keys"]).repartition(parts, "key").sortWithinPartitions("key")
+    one, least = stored(one, "one"), similarity - 0.12
+    led = stored(_ordered(deal(one).mapInPandas(lambda it: _lead(least, it), PAIR)), "candidates")
+    good = stored(verified(docs, led, n, similarity, broadcast_ids), "alike")
+    joined = components(good).select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    labelled = one.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    open_ = _ordered(deal(labelled).mapInPandas(lambda it: _across(least, it), PAIR)).join(led, ["a", "fp_a", "b", "fp_b"], "left_anti")
+    return good.unionByName(verified(docs, stored(open_, "open"), n, similarity, broadcast_ids)).distinct()
 
 
 def group_alike(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
