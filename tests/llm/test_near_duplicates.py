@@ -144,5 +144,18 @@ def test_members_that_fail_against_a_leader_are_still_linked(spark):
     assert got == want
 
 
+def test_repeated_lines_do_not_make_copies(spark):
+    """A line repeated 30 times fixes the SimHash of texts whose other words are their own."""
+    rows = []
+    for m in (7, 9, 11):
+        line = " ".join(f"l{m}.{k}" for k in range(m))
+        rows += [(100 * m + i, " ".join([line] * 30 + [f"u{m}.{i}.{k}" for k in range(60)])) for i in range(20)]
+    rows.append((5000, rows[0][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert N.group(df, 5).select("component_id").distinct().count() < len(rows) - 20
+    assert {x.doc_id: x.component_id for x in N.group_alike(df).collect()} == brute_groups(rows)
+    assert N.keep_one(df).count() == len(rows) - 1
+
+
 def test_empty_table(empty):
     assert N.group(empty).count() == 0 and N.keep_one(empty).count() == 0

@@ -17,7 +17,8 @@ Linking at 3 or fewer differing bits:
   bit count are linked. Nothing is missed: the argument above covers every link.
 
 Similarity of shingle sets: 3 of 64 bits is far stricter than a Jaccard similarity of 0.8 (of such pairs here, only one in ten
-is that close). ``alike`` therefore adds links for a stage that is defined by similarity: minimum hashes of the same shingle hashes give
+is that close), and texts in which one line is often repeated can be that close with hardly a shingle in common. For a stage that is defined
+by similarity, ``alike`` therefore takes close fingerprints as candidates only and adds others: minimum hashes of the same shingle hashes give
 ``TABLES`` keys of ``ROWS`` values; in a bucket, the most central rows lead all members whose sketch agrees with theirs, which gives one
 candidate per member; candidates are verified on whole shingle sets. Then all pairs of a bucket whose sketches agree and that no
 chain of verified links joins are verified too, so a member that fails against its leader still meets every other one. A group that its
@@ -339,23 +340,28 @@ def table_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """XXH64 of a sorted set of shingle hashes, as a signed long: texts of one set are one node."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).astype(np.int64))
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, fp, keys, sketch (a byte per minimum) for every row; keys and sketch are null without words."""
+    """doc_id, node, fp, keys, sketch (a byte per minimum) for every row; keys and sketch are null without words."""
 
-    @F.pandas_udf("fp long, keys array<long>, sketch binary")
+    @F.pandas_udf("node long, fp long, keys array<long>, sketch binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             h = shingle_hashes(text, n)
             if not len(h):
-                rows.append((0, None, None))
+                rows.append((0, 0, None, None))
                 continue
             low = minima(h)
             byte = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-            rows.append((np.uint64(simhash(h)).astype(np.int64), table_keys(low), byte.tobytes()))
-        return pd.DataFrame(rows, columns=["fp", "keys", "sketch"]).astype({"fp": "int64"})
+            rows.append((node_of(np.unique(h)), np.uint64(simhash(h)).astype(np.int64), table_keys(low), byte.tobytes()))
+        return pd.DataFrame(rows, columns=["node", "fp", "keys", "sketch"]).astype({"node": "int64", "fp": "int64"})
 
-    return docs.select("doc_id", sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.fp", "s.keys", "s.sketch")
+    return docs.select("doc_id", sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.node", "s.fp", "s.keys", "s.sketch")
 
 
 def _buckets(emit, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,17 +402,17 @@ def _central(sketch: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64)] * 4
-    return pd.DataFrame(dict(zip(("a", "fp_a", "b", "fp_b"), columns, strict=True)))
+    return pd.DataFrame(dict(zip(("a", "node_a", "b", "node_b"), columns, strict=True)))
 
 
 def _lead(least: float, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per key: the most central open row leads all open rows whose sketch agrees enough; repeated for the rest."""
 
     def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        doc, fp = rows["doc_id"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64)
+        doc, node = rows["doc_id"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
         found = []
         for at, sketch in _each(rows):
-            d, f = doc[at], fp[at]
+            d, f = doc[at], node[at]
             open_ = _central(sketch, d)
             while len(open_) > 1:
                 lead, rest = open_[0], open_[1:]
@@ -423,10 +429,10 @@ def _across(least: float, it: Iterator[pd.DataFrame], most: int = 200_000) -> It
     """Per key: all pairs of rows of different labels whose sketches agree enough, in frames of about most pairs."""
 
     def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        doc, fp, label = (rows[c].to_numpy(np.int64) for c in ("doc_id", "fp", "label"))
+        doc, node, label = (rows[c].to_numpy(np.int64) for c in ("doc_id", "node", "label"))
         found, held = [], 0
         for at, sketch in _each(rows):
-            d, f, g = doc[at], fp[at], label[at]
+            d, f, g = doc[at], node[at], label[at]
             if (g == g[0]).all():
                 continue
             for i in range(len(d) - 1):
@@ -445,62 +451,70 @@ def _across(least: float, it: Iterator[pd.DataFrame], most: int = 200_000) -> It
     yield from _buckets(emit, it)
 
 
-PAIR = "a long, fp_a long, b long, fp_b long"
+PAIR = "a long, node_a long, b long, node_b long"
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, smaller fingerprint first."""
-    swap = F.col("fp_a") > F.col("fp_b")
+    """Each pair once, smaller node first."""
+    swap = F.col("node_a") > F.col("node_b")
     flip = lambda c, other: F.when(swap, F.col(other)).otherwise(F.col(c)).alias(c)
-    return pairs.filter("fp_a <> fp_b").select(flip("a", "b"), flip("fp_a", "fp_b"), flip("b", "a"), flip("fp_b", "fp_a")).distinct()
+    return pairs.filter("node_a <> node_b").select(flip("a", "b"), flip("node_a", "node_b"), flip("b", "a"), flip("node_b", "node_a")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(a, b): fingerprints of the pairs whose sets of n-word shingles have at least that Jaccard similarity."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id"), F.col("fp_a").alias("fp")).union(pairs.select("b", "fp_b")).distinct(), "candidate-ids")
+    """(a, b): nodes of the pairs whose sets of n-word shingles have at least that Jaccard similarity."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id"), F.col("node_a").alias("node")).union(pairs.select("b", "node_b")).distinct(), "candidate-ids")
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, n)).view(np.int64) for t in texts])
+    @F.pandas_udf("of long, s array<long>")
+    def shingles(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, n)) for t in texts]
+        return pd.DataFrame({"of": [node_of(s) for s in sets], "s": [s.view(np.int64) for s in sets]}).astype({"of": "int64"})
 
     few = ids.count() <= broadcast_ids  # 16 bytes each
     near = F.broadcast(ids) if few else ids
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, "doc_id")
-    sets = stored(sets.select("doc_id", "fp", shingles("text").alias("s")).dropDuplicates(["doc_id", "fp"]), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("fp").alias("fp_a"), F.col("s").alias("s_a")), sets.select(F.col("doc_id").alias("b"), F.col("fp").alias("fp_b"), F.col("s").alias("s_b"))
+    sets = sets.select("doc_id", "node", shingles("text").alias("s")).filter("s.of = node")  # a repeated id can have several texts
+    sets = stored(sets.select("doc_id", "node", "s.s").dropDuplicates(["doc_id", "node"]), "sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("node").alias("node_a"), F.col("s").alias("s_a")), sets.select(F.col("doc_id").alias("b"), F.col("node").alias("node_b"), F.col("s").alias("s_b"))
 
     @F.pandas_udf("double")
     def jaccard(p: pd.Series, q: pd.Series) -> pd.Series:
         both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p, q, strict=True)]
         return pd.Series([c / (len(x) + len(y) - c) for c, x, y in zip(both, p, q, strict=True)], dtype="float64")
 
-    good = pairs.join(left, ["a", "fp_a"]).join(right, ["b", "fp_b"]).filter(jaccard("s_a", "s_b") >= similarity)
-    return good.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    good = pairs.join(left, ["a", "node_a"]).join(right, ["b", "node_b"]).filter(jaccard("s_a", "s_b") >= similarity)
+    return good.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def alike(docs: DataFrame, sketched: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of rows whose sets of n-word shingles have at least that Jaccard similarity.
+def alike(docs: DataFrame, sketched: DataFrame, n: int, most: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of nodes whose sets of n-word shingles have at least that Jaccard similarity.
 
-    First each bucket's leaders are compared with their rows; then all pairs of a bucket that verified links have not joined.
+    A node's buckets are those of its minimum hashes and the component of its fingerprint at most bits. First each bucket's leaders are
+    compared with their rows; then all pairs of a bucket that verified links have not joined.
     A pair of that similarity is missed with a probability under 0.2 %. sketched: what sketches() gives for docs.
     """
-    one = sketched.filter("sketch is not null and doc_id is not null").groupBy("fp", "sketch").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    one = sketched.filter("sketch is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "sketch")])
+    close = components(links(sketched.filter("sketch is not null").select("fp").distinct(), most)).select(F.col("node").alias("fp"), "root")
+    one = one.join(close, "fp", "left").select("node", "doc_id", "sketch", F.concat("keys", F.array(F.coalesce("root", "fp"))).alias("keys"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda rows: rows.select(F.explode("keys").alias("key"), *[c for c in rows.columns if c != "keys"]).repartition(parts, "key").sortWithinPartitions("key")
     one, least = stored(one, "one"), similarity - 0.12
     led = stored(_ordered(deal(one).mapInPandas(lambda it: _lead(least, it), PAIR)), "candidates")
     good = stored(verified(docs, led, n, similarity, broadcast_ids), "alike")
-    joined = components(good).select(F.col("node").alias("fp"), F.col("root").alias("label"))
-    labelled = one.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    open_ = _ordered(deal(labelled).mapInPandas(lambda it: _across(least, it), PAIR)).join(led, ["a", "fp_a", "b", "fp_b"], "left_anti")
+    joined = components(good).select("node", F.col("root").alias("label"))
+    labelled = one.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = _ordered(deal(labelled).mapInPandas(lambda it: _across(least, it), PAIR)).join(led, ["a", "node_a", "b", "node_b"], "left_anti")
     return good.unionByName(verified(docs, stored(open_, "open"), n, similarity, broadcast_ids)).distinct()
 
 
 def group_alike(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
-    """Like group, with links of both kinds: fingerprints within most bits, and shingle sets of at least that similarity."""
+    """doc_id, node, component_id for every row: like group, with links between shingle sets of at least that similarity.
+
+    Fingerprints within most bits are candidates only, since a line repeated often can fix all bits of texts that share little else.
+    """
     rows = stored(sketches(docs, n), "sketches")
-    edges = links(rows.select("fp").distinct(), most).unionByName(alike(docs, rows, n, similarity)).distinct()
-    return _grouped(rows.select("doc_id", "fp"), edges)
+    grouped = _grouped(rows.select("doc_id", F.col("node").alias("fp")), alike(docs, rows, n, most, similarity))
+    return grouped.withColumnRenamed("fp", "node")
 
 
 def digest(grouped: DataFrame) -> DataFrame:
