@@ -8,8 +8,8 @@
    fire together within a class more than their rates explain are correlated, and their evidence is divided by
    the size of their correlated block. Rates are estimated by EM on the histogram of all vote patterns of the
    whole corpus (at most 2**voters rows), held near the labelled rows' rates by those rows' counts.
-4. Classifier: logistic regression over all lexicon entries and patterns, trained on the posterior labels of
-   the bounded sample; its scale is set so that the threshold falls on the best cut of the sample.
+4. Classifier: logistic regression over all lexicon entries and patterns, trained on the bounded sample with half the
+   posterior plus half the row's own label as target; its scale is set so that the threshold falls on the best cut of the sample by those labels.
 
 Labels, votes and the sample come only from rows whose crc32(doc_id as text) mod folds is not held_out_fold.
 
