@@ -224,7 +224,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose language could be told; all columns stay."""
+    """The rows of docs that get a language, which is every text with a letter if any was learned: no code length rejects a row. All columns stay."""
     name = fresh(docs, "language_guess")
     guessed = docs.withColumn(name, predict_column(docs, fit(docs, **options)))
     return guessed.filter(F.col(name)["lang_pred"] != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
