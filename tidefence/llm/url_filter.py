@@ -2,7 +2,7 @@
 
 For every host the paths form a tree of segments. Segments that are visibly variable (numbers, long hexadecimal
 strings, dates, words with digits) stand as their shape from the start; below a node with many different children, a child that few paths take
-becomes a wildcard. Siblings whose branches are statistically alike (the same dominant shape below, in the same share
+becomes a wildcard. Siblings directly below the host (deeper ones are not merged) whose branches are statistically alike (the same dominant shape below, in the same share
 to the nearest quarter, and the same standing of their labels by a Wilson interval) are merged and their labels pooled. A template is rejected
 if its smoothed labelled purity, (bad + strength x prior) / (labelled + strength), is over the limit; templates
 without labels stay at the prior and are allowed.
