@@ -47,3 +47,14 @@ def test_excerpt_shares_landmarks():
     part = set(zip(t2.tolist(), c2.tolist(), strict=True))
     assert len(part & whole) > 0.9 * len(part)
     assert (np.diff(t) >= 0).all()
+
+
+def test_media_can_be_read_back(docs, corpus):
+    """The files are in the table and hold the texts; small batches give the same rows."""
+    rows = M.media_columns(docs).collect()
+    text = {r[0]: r[1] for r in corpus[0]}
+    for r in rows:
+        samples = M.from_wav(bytes(r.media))
+        assert samples == M.payload_of(text[r.doc_id])[0] and samples[: r.n_bytes].decode() == (text[r.doc_id] or "")
+        assert r.landmarks == M.landmarks(samples)[1].tolist()
+    assert sorted(map(str, M.media_columns(docs, 1000).collect())) == sorted(map(str, rows))

@@ -14,10 +14,8 @@ transformed in blocks of frames, with bounded memory. Repeated rows give repeate
 
 from __future__ import annotations
 
-import hashlib
 import io
 import wave
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +25,8 @@ from pyspark.sql import functions as F
 
 UNIT, FRAME, HOP, RATE = 192, 384, 192, 8000
 BANDS = ((1, 12), (12, 40), (40, 96), (96, 193))
-RESULT = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, times array<int>, landmarks array<int>"
-)
+RESULT = "doc_id long, n_bytes long, media binary, times array<int>, landmarks array<int>"
+HEADER = 44  # bytes of a WAV file before its samples
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -94,26 +90,40 @@ def landmarks(samples: bytes, fan: int = 4, reach: int = 32) -> tuple[np.ndarray
     return at[order].astype(np.int32), code[order].astype(np.int32)
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """The stored form's figures and the landmark arrays for every row of docs(doc_id, text, ...)."""
+def media_columns(docs: DataFrame, most: int = 8_000_000) -> DataFrame:
+    """The WAV file, the text's bytes and the landmark arrays for every row of docs(doc_id, text, ...). Batches have about most bytes."""
 
     def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RESULT.split(", ")]
         for batch in it:
-            rows = []
+            rows, held = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 payload, n = payload_of(text)
                 media = to_wav(payload)
-                back = from_wav(media)
-                at, code = landmarks(back)
-                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), at, code))
+                at, code = landmarks(from_wav(media))
+                rows.append((doc_id, n, media, at, code))
+                held += len(media)
+                if held >= most:
+                    yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(build, RESULT)
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """The landmark arrays as one string: how many landmarks, and the hash of both arrays."""
+    """Sizes and hashes of the file and its samples, and the landmark arrays as one string: how many landmarks, and the hash of both arrays."""
     arrays = F.concat_ws("|", F.array_join("times", ","), F.array_join("landmarks", ","))
     feature = F.concat_ws(":", F.size("landmarks").cast("string"), F.sha2(arrays, 256))
-    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    file, size = F.col("media"), F.octet_length("media")
+    payload = F.substring(file, HEADER + 1, 2**31 - 1)
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        (size - HEADER).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(file, -16, 16)).alias("tail_crc32"),
+        size.cast("long").alias("media_bytes"),
+        F.sha2(file, 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
