@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidefence.llm import near_duplicates as N
 
@@ -157,5 +158,64 @@ def test_repeated_lines_do_not_make_copies(spark):
     assert N.keep_one(df).count() == len(rows) - 1
 
 
+def families():
+    """60 bases, each with six variants that are less alike to it than 0.8 and partly alike to each other."""
+    r = random.Random(23)
+    rows = []
+    for f in range(60):
+        words = [f"w{f}.{r.randrange(4000)}" for _ in range(300)]
+        rows.append((100 * f, " ".join(words)))
+        changed = words[:]
+        for i in range(12):
+            changed[25 * i + 3] = f"z{f}.{i}"
+        for k in range(6):
+            variant = changed[:]
+            for _ in range(r.randrange(1, 7)):
+                variant[r.randrange(300)] = f"y{f}.{k}.{r.randrange(999)}"
+            rows.append((100 * f + 1 + k, " ".join(variant)))
+    return rows
+
+
+def test_families_whose_base_is_not_alike_enough(spark):
+    rows = families()
+    want = brute_groups(rows)
+    assert 100 < len(set(want.values())) < 300
+    got = {x.doc_id: x.component_id for x in N.group_alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(a, b) for a in want for b in range(a + 1, a - a % 100 + 7) if b in want and want[a] == want[b]]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(want[a] == want[b] for a in got for b in range(a + 1, a - a % 100 + 7) if b in got and got[a] == got[b])
+
+
+def test_keys_dealt_to_blocks_give_the_same(spark, monkeypatch):
+    """Groups of 120 near copies and chains meet block by block."""
+    r = random.Random(29)
+    base = " ".join(f"w{r.randrange(5000)}" for _ in range(200))
+    rows = [(i, near(r, base, 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x.doc_id: x.component_id for x in N.group_alike(df).collect()}
+    assert want == brute_groups(rows)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    one = N.sketches(df, 5).withColumn("label", F.col("node") % 7)
+    met = N._blocks(one)
+    assert met.groupBy("key", "block").count().filter("count > 200").count() == 0 and met.filter("probe").count() > 0
+    pairs = lambda m: {tuple(sorted((x.a, x.b))) for x in m.alias("p").filter("not probe").withColumnRenamed("node", "a").withColumnRenamed("label", "la").join(m.withColumnRenamed("node", "b").withColumnRenamed("label", "lb").withColumnRenamed("probe", "pb"), ["key", "block"]).filter("la <> lb").collect()}
+    in_blocks = pairs(met)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 10_000)
+    assert in_blocks == pairs(N._blocks(one))
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    assert {x.doc_id: x.component_id for x in N.group_alike(df).collect()} == want
+
+
+def test_hot_codeword_keys_are_dealt_to_blocks(spark):
+    r = np.random.default_rng(4)
+    centre = np.uint64(int(r.integers(0, 2**63)))
+    fps = [int((centre ^ np.uint64(1 << i) ^ np.uint64(1 << j)).view(np.int64)) for i in range(46, 64) for j in range(46, i)] + [int(centre.view(np.int64))]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for hot in (65_536, 20):
+        found = {(x.a, x.b) for x in N.links(df, 3, hot).collect()}
+        assert len(set(union(found, fps).values())) == 1
+        assert all((np.uint64(a % 2**64) ^ np.uint64(b % 2**64)).item().bit_count() <= 3 for a, b in found)
+
+
 def test_empty_table(empty):
     assert N.group(empty).count() == 0 and N.keep_one(empty).count() == 0

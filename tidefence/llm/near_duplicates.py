@@ -19,10 +19,10 @@ Linking at 3 or fewer differing bits:
 Similarity of shingle sets: 3 of 64 bits is far stricter than a Jaccard similarity of 0.8 (of such pairs here, only one in ten
 is that close), and texts in which one line is often repeated can be that close with hardly a shingle in common. For a stage that is defined
 by similarity, ``alike`` therefore takes close fingerprints as candidates only and adds others: minimum hashes of the same shingle hashes give
-``TABLES`` keys of ``ROWS`` values; in a bucket, the most central rows lead all members whose sketch agrees with theirs, which gives one
-candidate per member; candidates are verified on whole shingle sets. Then all pairs of a bucket whose sketches agree and that no
-chain of verified links joins are verified too, so a member that fails against its leader still meets every other one. A group that its
-leader joins costs nothing more; one whose members agree at nearly that similarity, but do not reach it, costs a comparison per pair.
+``TABLES`` keys of ``ROWS`` values. Nodes that share a key and whose sketches agree are verified on whole shingle sets, inside the task that
+holds the key: a union-find keeps what is joined, the row of the commonest shingles is compared with all, and every row it does not
+join with all others. Only rows with an agreeing partner of another label bring their sets, no pair is ever emitted before it is verified, and at most one link per row and
+label after. A key of many rows is dealt to blocks (``_blocks``). The fingerprints' components and two of the tables come first; then all tables, for what is not joined yet.
 
 Copies share a fingerprint and are counted before anything is linked, so groups of copies cost one row. Rows of
 one key are compared in blocks inside a task with a union-find that emits at most one link per fingerprint and
@@ -170,6 +170,14 @@ def _explode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key, "fp": part[row], "own": own})
 
 
+def _explode_own(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The three keys that are a fingerprint's own."""
+    for batch in it:
+        u = batch["fp"].to_numpy(np.int64).view(np.uint64)
+        index = [golay().decode((u >> np.uint64(a) & np.uint64((1 << w) - 1)).astype(np.int64))[0] for a, w in SEGMENTS]
+        yield pd.DataFrame({"key": np.concatenate([p << 24 | index[i] << 12 | index[j] for p, (i, j) in enumerate(PAIRS)])})
+
+
 class _Sets:
     """Union-find over the positions of one block."""
 
@@ -265,13 +273,25 @@ def _match(most: int, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield emit(pd.concat(held, ignore_index=True))
 
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b), a < b: links whose components are those of all pairs of distinct.fp within most <= 3 bits."""
+def links(distinct: DataFrame, most: int = 3, hot: int = 65_536) -> DataFrame:
+    """(a, b), a < b: links whose components are those of all pairs of distinct.fp within most <= 3 bits.
+
+    A key that more than hot fingerprints have as their own is dealt to blocks of them; all its rows are sent to every block. Of keys that hot there are at
+    most three for that many fingerprints, so their list is broadcast.
+    """
     if most > 3:
         raise ValueError("three segments cover at most 3 differing bits")
     keyed = distinct.select("fp").mapInPandas(_explode, "key long, fp long, own boolean")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.repartition(n, "key").sortWithinPartitions("key")
+    own = distinct.select("fp").mapInPandas(_explode_own, "key long")
+    wide = stored(own.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "hot-keys")
+    if wide.head(1):
+        keyed = keyed.join(F.broadcast(wide), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        keyed = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        home = F.pmod(F.xxhash64("fp"), F.col("blocks")) == F.col("block")
+        # pairs and codeword indices take 26 bits of a key
+        keyed = keyed.select((F.col("key") + F.col("block").cast("long") * (1 << 26)).alias("key"), "fp", (F.col("own") & home).alias("own"))
+    parts = max(1, -(-distinct.count() // 20_000))  # of about 48 keys each
+    keyed = keyed.repartition(parts, "key").sortWithinPartitions("key")
     return keyed.mapInPandas(lambda it: _match(most, it), "a long, b long").distinct()
 
 
@@ -319,6 +339,8 @@ def group(docs: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
 # -- links by similarity of shingle sets ----------------------------------------------------------------
 
 TABLES, ROWS, SKETCH = 12, 4, 128
+#: Rows and shingles of a key that one task holds at a time.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
 _MIX = np.random.default_rng(64).integers(1, 2**63, size=(2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -346,165 +368,243 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node, fp, keys, sketch (a byte per minimum) for every row; keys and sketch are null without words."""
+    """doc_id, node, fp, size (distinct shingles), keys, sketch (a byte per minimum) for every row; keys and sketch are null without words."""
 
-    @F.pandas_udf("node long, fp long, keys array<long>, sketch binary")
+    @F.pandas_udf("node long, fp long, size long, keys array<long>, sketch binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             h = shingle_hashes(text, n)
             if not len(h):
-                rows.append((0, 0, None, None))
+                rows.append((0, 0, 0, None, None))
                 continue
-            low = minima(h)
+            distinct = np.unique(h)
+            low = minima(distinct)
             byte = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-            rows.append((node_of(np.unique(h)), np.uint64(simhash(h)).astype(np.int64), table_keys(low), byte.tobytes()))
-        return pd.DataFrame(rows, columns=["node", "fp", "keys", "sketch"]).astype({"node": "int64", "fp": "int64"})
-
-    return docs.select("doc_id", sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.node", "s.fp", "s.keys", "s.sketch")
-
-
-def _buckets(emit, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What emit gives for whole keys. Batches come sorted by key; the last key of a batch waits for the next batch."""
-    held: list[pd.DataFrame] = []
-    for batch in it:
-        if not len(batch):
-            continue
-        last = batch["key"].iloc[-1]
-        held.append(batch)
-        if batch["key"].iloc[0] == last and held[0]["key"].iloc[0] == last:
-            continue
-        rows = pd.concat(held, ignore_index=True)
-        cut = int(np.searchsorted(rows["key"].to_numpy(), last))
-        held = [rows.iloc[cut:]]
-        if cut:
-            yield from emit(rows.iloc[:cut])
-    if held:
-        yield from emit(pd.concat(held, ignore_index=True))
+            rows.append((node_of(distinct), np.uint64(simhash(h)).astype(np.int64), len(distinct), table_keys(low), byte.tobytes()))
+        return pd.DataFrame(rows, columns=["node", "fp", "size", "keys", "sketch"]).astype({"node": "int64", "fp": "int64", "size": "int64"})
 
+    return docs.select("doc_id", sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
 
-def _each(rows: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
-    """The rows and sketches of every key with two or more rows."""
-    key = rows["key"].to_numpy(np.int64)
-    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        if hi - lo > 1:
-            yield slice(lo, hi), np.frombuffer(b"".join(rows["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, SKETCH)
-
-
-def _central(sketch: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places of a bucket's rows: those that agree most with each column's commonest value first."""
-    if len(doc) == 2:
-        return np.argsort(doc, kind="stable")
-    common = np.array([np.bincount(column, minlength=256).argmax() for column in sketch.T], dtype=np.uint8)
-    return np.lexsort((doc, -(sketch == common).sum(axis=1)))
-
-
-def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=np.int64)] * 4
-    return pd.DataFrame(dict(zip(("a", "node_a", "b", "node_b"), columns, strict=True)))
 
+def _fed(make, columns: list[str], it: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Feeds the rows of each (key, block), which come sorted with probes last, to make() and yields what its take() and close() give."""
+    unit, at, held, n = None, None, [], 0
 
-def _lead(least: float, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per key: the most central open row leads all open rows whose sketch agrees enough; repeated for the rest."""
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(columns, (np.concatenate(c) for c in zip(*held, strict=True)), strict=True)))
 
-    def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        doc, node = rows["doc_id"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
-        found = []
-        for at, sketch in _each(rows):
-            d, f = doc[at], node[at]
-            open_ = _central(sketch, d)
-            while len(open_) > 1:
-                lead, rest = open_[0], open_[1:]
-                near = (sketch[rest] == sketch[lead]).mean(axis=1) >= least
-                took = rest[near]
-                found.append((np.full(len(took), d[lead]), np.full(len(took), f[lead]), d[took], f[took]))
-                open_ = rest[~near]
-        yield _frame(found)
-
-    yield from _buckets(emit, it)
-
-
-def _across(least: float, it: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Per key: all pairs of rows of different labels whose sketches agree enough, in frames of about most pairs."""
-
-    def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        doc, node, label = (rows[c].to_numpy(np.int64) for c in ("doc_id", "node", "label"))
-        found, held = [], 0
-        for at, sketch in _each(rows):
-            d, f, g = doc[at], node[at], label[at]
-            if (g == g[0]).all():
+    for batch in it:
+        key, block, probe = batch["key"].to_numpy(np.int64), batch["block"].to_numpy(np.int64), batch["probe"].to_numpy(bool)
+        node, label, data = batch["node"].to_numpy(np.int64), batch["label"].to_numpy(np.int64), batch["data"].to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (probe[1:] != probe[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            if lo == hi:
                 continue
-            for i in range(len(d) - 1):
-                other = i + 1 + np.flatnonzero(g[i + 1 :] != g[i])
-                for k in range(0, len(other), most):
-                    part = other[k : k + most]
-                    took = part[(sketch[part] == sketch[i]).mean(axis=1) >= least]
-                    if len(took):
-                        found.append((np.full(len(took), d[i]), np.full(len(took), f[i]), d[took], f[took]))
-                        held += len(took)
-                    if held >= most:
-                        yield _frame(found)
-                        found, held = [], 0
-        yield _frame(found)
-
-    yield from _buckets(emit, it)
-
-
-PAIR = "a long, node_a long, b long, node_b long"
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, smaller node first."""
-    swap = F.col("node_a") > F.col("node_b")
-    flip = lambda c, other: F.when(swap, F.col(other)).otherwise(F.col(c)).alias(c)
-    return pairs.filter("node_a <> node_b").select(flip("a", "b"), flip("node_a", "node_b"), flip("b", "a"), flip("node_b", "node_a")).distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(a, b): nodes of the pairs whose sets of n-word shingles have at least that Jaccard similarity."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id"), F.col("node_a").alias("node")).union(pairs.select("b", "node_b")).distinct(), "candidate-ids")
+            new: list[tuple[np.ndarray, ...]] = []
+            if at != (key[lo], block[lo]):
+                if unit is not None:
+                    new += unit.close()
+                at = key[lo], block[lo]
+                unit = make(*at)
+            new += unit.take(bool(probe[lo]), node[lo:hi], label[lo:hi], data[lo:hi])
+            held += new
+            n += sum(len(x[0]) for x in new)
+            if n >= most:
+                yield frame()
+                held, n = [], 0
+    if unit is not None:
+        held += unit.close()
+    if held:
+        yield frame()
+
+
+class _Unit:
+    """Rows at home in one block of one key, and what they share with each other and with probes from the key's other blocks."""
+
+    def __init__(self, key: int, block: int) -> None:
+        self.at = key, block
+        self.homes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ready = False
+
+    def take(self, probe: bool, node: np.ndarray, label: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        if not probe:
+            self.homes.append((node, label, data))
+            return []
+        out = self._settle()
+        return out + (self.probed(node, label, data) if self.homes else [])
+
+    def close(self) -> list[tuple[np.ndarray, ...]]:
+        return self._settle() + self.last()
+
+    def _settle(self) -> list[tuple[np.ndarray, ...]]:
+        if self.ready or not self.homes:
+            return []
+        self.ready = True
+        self.node, self.label, data = (np.concatenate(c) for c in zip(*self.homes, strict=True))
+        return self.settled(data)
+
+    def last(self) -> list[tuple[np.ndarray, ...]]:
+        return []
+
+
+class _Agreeing(_Unit):
+    """Gives the rows (key, block, probe, node, label) whose sketch agrees with one of another label."""
+
+    def __init__(self, least: float, key: int, block: int) -> None:
+        super().__init__(key, block)
+        self.enough = int(np.ceil(least * SKETCH))
+
+    def settled(self, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        self.sketch = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, SKETCH)
+        self.open = np.zeros(len(self.node), dtype=bool)
+        if (self.label != self.label[0]).any():
+            for i in range(len(self.node)):
+                self.open[i] = self._near(self.sketch[i], self.label[i]).any()
+        return []
+
+    def _near(self, sketch: np.ndarray, label: int) -> np.ndarray:
+        return ((self.sketch == sketch).sum(axis=1) >= self.enough) & (self.label != label)
+
+    def _rows(self, probe: bool, node: np.ndarray, label: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        key, block = self.at
+        return [(np.full(len(node), key), np.full(len(node), block), np.full(len(node), probe), node, label)] if len(node) else []
+
+    def probed(self, node: np.ndarray, label: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        took = np.zeros(len(node), dtype=bool)
+        for i, sketch in enumerate(data):
+            near = self._near(np.frombuffer(sketch, dtype=np.uint8), label[i])
+            took[i] = near.any()
+            self.open |= near
+        return self._rows(True, node[took], label[took])
+
+    def last(self) -> list[tuple[np.ndarray, ...]]:
+        return self._rows(False, self.node[self.open], self.label[self.open]) if self.ready else []
+
+
+class _Verified(_Unit):
+    """Gives links (a, b) of nodes with a Jaccard similarity of at least that, which join all such nodes of the unit; at most one for
+    each row and label it is joined to."""
+
+    def __init__(self, similarity: float, key: int, block: int) -> None:
+        super().__init__(key, block)
+        self.similarity = similarity
+
+    def settled(self, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        sizes = np.array([len(s) for s in data], dtype=np.int64)
+        self.size, self.start = sizes, np.cumsum(sizes) - sizes
+        self.vocabulary, code = np.unique(np.concatenate(data), return_inverse=True)
+        self.code = code.astype(np.int32)
+        _, first, self.place = np.unique(self.label, return_index=True, return_inverse=True)
+        self.sets = _Sets(len(first))
+        # the row whose shingles are the commonest joins most others, so few are left to compare with all
+        common = np.add.reduceat(np.bincount(self.code)[self.code], self.start) / sizes
+        anchor = int(common.argmax())
+        out = self._join(anchor, self.code[self.start[anchor] :][: sizes[anchor]], sizes[anchor])
+        for i in range(len(sizes)):
+            if self.sets.root(self.place[i]) != self.sets.root(self.place[anchor]):
+                out += self._join(i, self.code[self.start[i] :][: sizes[i]], sizes[i])
+        return out
+
+    def _near(self, code: np.ndarray, size: int) -> np.ndarray:
+        mark = np.zeros(len(self.vocabulary), dtype=np.uint8)
+        mark[code] = 1
+        both = np.add.reduceat(mark[self.code], self.start, dtype=np.int64)
+        return np.flatnonzero(both >= self.similarity * (self.size + size - both))
+
+    def _join(self, i: int, code: np.ndarray, size: int) -> list[tuple[np.ndarray, ...]]:
+        joined = [j for j in self._near(code, size).tolist() if self.sets.join(self.place[i], self.place[j])]
+        return [(np.full(len(joined), self.node[i]), self.node[joined])] if joined else []
+
+    def probed(self, node: np.ndarray, label: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        out = []
+        for i, s in enumerate(data):
+            code = np.searchsorted(self.vocabulary, s)
+            code = np.minimum(code, len(self.vocabulary) - 1)
+            near = self._near(code[self.vocabulary[code] == s], len(s))
+            near = near[self.label[near] != label[i]]
+            if len(near):
+                _, one = np.unique([self.sets.root(p) for p in self.place[near].tolist()], return_index=True)
+                out.append((np.full(len(one), node[i]), self.node[near[one]]))
+        return out
+
+
+UNIT = "key long, block int, probe boolean, node long, label long"
+
+
+def _dealt(rows: DataFrame, per: int) -> DataFrame:
+    """rows(key, block, probe, ...) to as many partitions as their count asks for, each (key, block) whole and in order."""
+    parts = max(1, -(-rows.count() // per))
+    return rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "probe")
+
+
+def _blocks(one: DataFrame) -> DataFrame:
+    """UNIT rows: where the nodes of one(node, label, size, keys) meet those of other labels with which they share a key.
+
+    A key with more than BLOCK_ROWS nodes or BLOCK_SHINGLES shingles is dealt to several blocks. Each node is at home in one of them; a node
+    that does not have the key's commonest label is also a probe in all others, so all pairs of different labels meet and no task gathers a key.
+    """
+    rows = one.select(F.explode("keys").alias("key"), "node", "label", "size")
+    many = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"))
+    keys = stored(keys.filter("n > 1 and low <> high").select("key", "n", many.alias("blocks")), "buckets")
+    met = skew_join(rows.drop("size"), keys, "key", "n").drop("n")
+    at_home = met.withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
+    homes = at_home.select("key", "block", F.lit(False).alias("probe"), "node", "label")
+    if not keys.filter("blocks > 1").head(1):
+        return homes
+    wide = at_home.filter("blocks > 1")
+    commonest = wide.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("commonest"))
+    # one row for each key of over BLOCK_ROWS nodes, so at most 13 rows for that many nodes
+    probes = wide.join(commonest, "key").filter("label <> commonest").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block")
+    return homes.unionByName(probes.select("key", F.col("to").alias("block"), F.lit(True).alias("probe"), "node", "label"))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, n: int, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(node, data): the sorted set of shingle hashes of each of ids(doc_id, node)."""
 
     @F.pandas_udf("of long, s array<long>")
     def shingles(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, n)) for t in texts]
         return pd.DataFrame({"of": [node_of(s) for s in sets], "s": [s.view(np.int64) for s in sets]}).astype({"of": "int64"})
 
+    ids = stored(ids, "candidate-ids")
     few = ids.count() <= broadcast_ids  # 16 bytes each
     near = F.broadcast(ids) if few else ids
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, "doc_id")
-    sets = sets.select("doc_id", "node", shingles("text").alias("s")).filter("s.of = node")  # a repeated id can have several texts
-    sets = stored(sets.select("doc_id", "node", "s.s").dropDuplicates(["doc_id", "node"]), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("node").alias("node_a"), F.col("s").alias("s_a")), sets.select(F.col("doc_id").alias("b"), F.col("node").alias("node_b"), F.col("s").alias("s_b"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, "doc_id")
+    # marked so that the filter and the projection share one call; a repeated id can have several texts
+    sets = rows.select("node", shingles.asNondeterministic()("text").alias("s")).filter("s.of = node")
+    return sets.select("node", F.col("s.s").alias("data")).dropDuplicates(["node"])
 
-    @F.pandas_udf("double")
-    def jaccard(p: pd.Series, q: pd.Series) -> pd.Series:
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p, q, strict=True)]
-        return pd.Series([c / (len(x) + len(y) - c) for c, x, y in zip(both, p, q, strict=True)], dtype="float64")
 
-    good = pairs.join(left, ["a", "node_a"]).join(right, ["b", "node_b"]).filter(jaccard("s_a", "s_b") >= similarity)
-    return good.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+def linked(docs: DataFrame, one: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): verified links between nodes of different labels that share a key of one(node, label, doc_id, size, sketch, keys)."""
+    least = similarity - 0.12
+    met = stored(_blocks(one), "met").join(one.select("node", F.col("sketch").alias("data")), "node")
+    open_ = stored(_dealt(met, 200_000).mapInPandas(lambda it: _fed(lambda k, b: _Agreeing(least, k, b), [c.split()[0] for c in UNIT.split(", ")], it), UNIT), "open")
+    ids = one.select("doc_id", "node").join(open_.select("node").distinct(), "node", "left_semi")
+    whole = open_.join(stored(shingle_sets(docs, ids, n), "sets"), "node")
+    pairs = _dealt(whole, 20_000).mapInPandas(lambda it: _fed(lambda k, b: _Verified(similarity, k, b), ["a", "b"], it), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def alike(docs: DataFrame, sketched: DataFrame, n: int, most: int, similarity: float, broadcast_ids: int = 1_000_000) -> DataFrame:
+def alike(docs: DataFrame, sketched: DataFrame, n: int, most: int, similarity: float, first_tables: int = 2) -> DataFrame:
     """(a, b): links whose components are those of all pairs of nodes whose sets of n-word shingles have at least that Jaccard similarity.
 
-    A node's buckets are those of its minimum hashes and the component of its fingerprint at most bits. First each bucket's leaders are
-    compared with their rows; then all pairs of a bucket that verified links have not joined.
-    A pair of that similarity is missed with a probability under 0.2 %. sketched: what sketches() gives for docs.
+    A node's keys are those of its minimum hashes and the component of its fingerprint at most bits. Some of the keys link most
+    nodes; then all keys are searched for pairs that verified links have not joined.
+    A pair of that similarity is missed with a probability of 0.2 %. sketched: what sketches() gives for docs.
     """
-    one = sketched.filter("sketch is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "sketch")])
-    close = components(links(sketched.filter("sketch is not null").select("fp").distinct(), most)).select(F.col("node").alias("fp"), "root")
-    one = one.join(close, "fp", "left").select("node", "doc_id", "sketch", F.concat("keys", F.array(F.coalesce("root", "fp"))).alias("keys"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = lambda rows: rows.select(F.explode("keys").alias("key"), *[c for c in rows.columns if c != "keys"]).repartition(parts, "key").sortWithinPartitions("key")
-    one, least = stored(one, "one"), similarity - 0.12
-    led = stored(_ordered(deal(one).mapInPandas(lambda it: _lead(least, it), PAIR)), "candidates")
-    good = stored(verified(docs, led, n, similarity, broadcast_ids), "alike")
-    joined = components(good).select("node", F.col("root").alias("label"))
-    labelled = one.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = _ordered(deal(labelled).mapInPandas(lambda it: _across(least, it), PAIR)).join(led, ["a", "node_a", "b", "node_b"], "left_anti")
-    return good.unionByName(verified(docs, stored(open_, "open"), n, similarity, broadcast_ids)).distinct()
+    some = sketched.filter("sketch is not null and doc_id is not null")
+    one = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "size", "keys", "sketch")])
+    close = components(links(some.select("fp").distinct(), most)).select(F.col("node").alias("fp"), "root")
+    one = one.join(close, "fp", "left").select("node", "doc_id", "size", "sketch", F.concat(F.array(F.coalesce("root", "fp")), "keys").alias("keys"))
+    one = stored(one, "one")
+    first = one.withColumn("label", F.col("node")).withColumn("keys", F.slice("keys", 1, 1 + first_tables))
+    good = stored(linked(docs, first, n, similarity), "alike")
+    labels = components(good).select("node", F.col("root").alias("label"))
+    rest = stored(one.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    return good.unionByName(linked(docs, rest, n, similarity)).distinct()
 
 
 def group_alike(docs: DataFrame, n: int = 5, most: int = 3, similarity: float = 0.8) -> DataFrame:
