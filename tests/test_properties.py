@@ -15,12 +15,16 @@ finite = st.floats(-1e6, 1e6, allow_nan=False, width=64)
 ordinate = finite.map(lambda v: v if abs(v) > 1e-6 else 0.0)  # products of smaller ones may underflow
 
 
+TIES = [2.5, 0.5, 1.005, 0.001953125, -10.939453125, -108.0578087362285, 999999.5, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 0.1, 1e22, 1e23, -0.0, 0.0, float("inf"), -float("inf"), float("nan")]
+
+
 @few
-@given(st.lists(finite, min_size=20, max_size=60))
+@given(st.lists(st.one_of(finite, st.floats(width=64), st.integers(-(10**6), 10**6).map(lambda n: n / 1024)), min_size=20, max_size=60))
 def test_numbers_print_as_in_c(spark, values):
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    for digits in (6, 10):
-        assert [r[0] for r in df.select(T.short_number(F.col("v"), digits)).collect()] == [f"{v:.{digits}g}" for v in values]
+    values = values + TIES
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for digits in (1, 6, 10, 15, 17):
+        assert [r[0] for r in df.select(T.short_number(F.col("v"), digits)).collect()] == [f"{v:.{digits}g}" for v in values] + [None]
 
 
 @few

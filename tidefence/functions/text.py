@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _exact(digits: int):
+    @F.pandas_udf("string")
+    def text(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x != x else f"{x:.{digits}g}" for x in v], dtype=object)
+
+    return text
+
+
 def short_number(v: Column, digits: int = 15) -> Column:
-    """A double with so many significant digits and without trailing zeros, like C's %g, in the JVM.
+    """A double with so many significant digits and without trailing zeros, as C's %g prints it; nan, inf and -inf.
 
-    Plain notation for exponents from -4 up to digits, else mantissa and an exponent of at least two digits. Java's digits are those of the
-    shortest decimal that reads back as the same double, padded with zeros, so from 16 digits on the last ones can differ from C's.
+    Plain notation for exponents from -4 up to digits, else mantissa and an exponent of at least two digits. Java rounds the shortest decimal that
+    reads back as the same double. That is the double's own rounding unless what follows the last digit is nearly a half; only those rows,
+    subnormal numbers, and numbers of 16 and more digits are printed in Arrow batches, all others in the JVM.
     """
+    size = F.abs(v)
     sci = F.format_string(f"%.{digits - 1}e", v)
+    shortest = F.regexp_replace(F.regexp_replace(size.cast("string"), "E.*", ""), r"^0\.0*|\.", "")
+    nearly_half = F.substr(shortest, F.lit(digits + 1), F.lit(1)).isin("3", "4", "5", "6")
+    doubt = nearly_half | (size < 2.3e-308) if digits <= 15 else size < float("inf")
+    doubt = doubt & (size > 0) & (size < float("inf"))
     exponent = F.substring_index(sci, "e", -1).cast("int")
     strip = lambda s: F.when(F.contains(s, F.lit(".")), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
     # the rounded decimal is exact, so printing it with many places and stripping zeros prints the digits alone
-    plain = strip(sci.cast("decimal(38,20)").cast("string"))
+    plain = strip(sci.try_cast("decimal(38,20)").cast("string"))
     mantissa = strip(F.substring_index(sci, "e", 1))
     power = F.concat(F.when(exponent < 0, "-").otherwise("+"), padded(F.abs(exponent), 2))
     small = (exponent >= -4) & (exponent < digits)
-    return F.when(v.isNull(), None).when(v == 0, F.when(F.format_string("%.1f", v).startswith("-"), "-0").otherwise("0")).when(small, plain).otherwise(F.concat(mantissa, F.lit("e"), power))
+    special = F.when(v == float("inf"), "inf").when(v == -float("inf"), "-inf").when(F.isnan(v), "nan")
+    zero = F.when(F.format_string("%.1f", v).startswith("-"), "-0").otherwise("0")
+    java = F.when(v == 0, zero).when(small, plain).otherwise(F.concat(mantissa, F.lit("e"), power))
+    return F.when(v.isNull(), None).when(special.isNotNull(), special).when(doubt, _exact(digits)(F.when(doubt, v))).otherwise(java)
 
 
 def point_wkt(x: Column, y: Column, crs: Column | None = None) -> Column:
@@ -28,9 +46,17 @@ def point_wkt(x: Column, y: Column, crs: Column | None = None) -> Column:
     return text if crs is None else F.concat(F.lit("<"), crs, F.lit("> "), text)
 
 
+def _corners(digits: int = 15):
+    @F.pandas_udf("string")
+    def text(shells: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else ", ".join(f"{p['x']:.{digits}g} {p['y']:.{digits}g}" for p in s) for s in shells], dtype=object)
+
+    return text
+
+
 def polygon_wkt(shell: Column, crs: Column | None = None) -> Column:
-    corners = F.transform(shell, lambda p: F.concat(short_number(p["x"]), F.lit(" "), short_number(p["y"])))
-    text = F.concat(F.lit("POLYGON (("), F.array_join(corners, ", "), F.lit("))"))
+    """shell: array of struct<x, y>; its corners are printed in Arrow batches."""
+    text = F.concat(F.lit("POLYGON (("), _corners()(shell), F.lit("))"))
     return text if crs is None else F.concat(F.lit("<"), crs, F.lit("> "), text)
 
 
