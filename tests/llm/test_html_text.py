@@ -54,6 +54,55 @@ def test_odd_pages():
     assert text("<article><p>1 &lt; 2 &#8211; &unknown; x</p></article>") == "1 < 2 – &unknown; x"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p data-x=don't>Hello there, it's here and goes on.</p></article>", "Hello there, it's here and goes on."),
+        ("<article><p title=\"5\" tall\">Text \"quoted\" and some more.</p></article>", 'Text "quoted" and some more.'),
+        ("<article><p class='promotion-history'>Words that are in the piece.</p></article>", "Words that are in the piece."),
+        ("<article><p id=discussion>Words of the piece.</p><h2 id='related-work'>Related work</h2><p>And more.</p></article>", "Words of the piece.\n\nRelated work\n\nAnd more."),
+        ("<article><p>Before the list.</p><ul class='tags'><li>first point of it</li></ul></article>", "Before the list.\n\nfirst point of it"),
+        ("<article><p>Before.</p><section id='legal-history'><p>Legal matters of the past.</p></section><p>After it all.</p></article>", "Before.\n\nLegal matters of the past.\n\nAfter it all."),
+        ("<table><tr><td><a href=/a>One page</a></td><td><a href=/b>Other page</a></td></tr></table>" + NAV + "<main><p>Only this is the text of the page, as it should be.</p></main>", "Only this is the text of the page, as it should be."),
+        ("<article><p>Left <i><b><u><s><em><q><tt><sub><sup>open<div>A block that ends it.</div></article>", "Left open\n\nA block that ends it."),
+    ],
+)
+def test_words_and_quotes_do_not_swallow_content(page, want):
+    assert text(page) == want
+
+
+def test_unclosed_and_nested_tags_cost_no_more():
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        H.extract(page, H.default_weights())
+        return time.perf_counter() - start
+
+    for make in (lambda n: "<article><p>word " + "<b>x" * n, lambda n: "<div>" * n + "</p></i>some words" * n, lambda n: "<li>" * n + "<td>" * n, lambda n: '<p x="' * n):
+        assert seconds(make(100_000)) < 25 * max(0.05, seconds(make(10_000)))
+
+
+def test_generated_pages_against_their_blocks():
+    """Pages from a second builder, whose blocks are known; surroundings on both sides, tables and asides among them."""
+    import random
+
+    r = random.Random(77)
+    say = lambda a, b: " ".join(r.choice(["stone", "river", "under", "walks", "seven", "light", "house", "years"]) for _ in range(r.randint(a, b)))
+    menu = "<table><tr>" + "".join(f"<td><a href='/{i}'>{say(1, 2)}</a></td>" for i in range(6)) + "</tr></table>"
+    right = 0
+    for _ in range(200):
+        blocks, body = [], ""
+        for _ in range(r.randint(3, 10)):
+            words = say(8, 60)
+            blocks.append(words)
+            body += r.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<p class=promotion-x>{}</p>", "<div><em>{}</em></div>"]).format(words)
+        around = [menu, *AROUND[:5], AFTER[0]]
+        page = "".join(r.sample(around, 3)) + r.choice(["<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div>"]).format(body) + "".join(r.sample([*AFTER, menu], 3))
+        right += text(page) == "\n\n".join(blocks)
+    assert right >= 196
+
+
 def test_best_region():
     assert H.best_region([]) == (0, 0) and H.best_region([-1, -2]) == (0, 0)
     assert H.best_region([1, -5, 3, -1, 4, -9, 2]) == (2, 5)

@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative; a word loses score where it stands in
 a link, in a list or cell, or inside an element that is, or calls itself by class, id or role, a menu, header,
-footer, sidebar, advert, notice, form or comment. One linear scan finds the contiguous region with the largest total.
+footer, sidebar, advert, notice, form or comment. A class or id counts only if all its parts are such words or words of layout, so
+``promotion-history`` says nothing, and an id only on elements that hold blocks. One linear scan finds the contiguous region with the largest total.
 Within it, blocks that score below zero as a whole are left out, so an advert in the middle of an article goes although the
 region spans it.
 
@@ -14,7 +15,7 @@ and joined by two newlines. Inline tags do not separate words; a line break does
 
 Cases: null, empty and text-free pages give an empty text. Unclosed elements, comments and quotes are tolerated: an open element ends
 with its parent, an open comment with the page. Among regions of equal score the first one wins. Very long pages are scanned once, in linear time.
-Repeated rows give repeated results. Other columns are ignored.
+Open elements are counted by name, so neither unclosed nor nested tags cost more. Repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,20 +43,25 @@ KIND_OF_HINT = {
         "advert": "ad ads adbox adv advert adverts advertisement advertising adsbygoogle adsense adslot sponsor sponsored promo promotion promoted dfp taboola outbrain",
         "menu": "nav navbar topnav sidenav subnav mainnav navigation menu menubar breadcrumb breadcrumbs pagination pager toc skip tabs",
         "header": "header siteheader pageheader masthead topbar branding logo banner",
-        "footer": "footer sitefooter pagefooter copyright colophon legal contentinfo",
-        "sidebar": "sidebar aside widget widgets related recommended recommendations trending popular complementary share sharing social follow tags",
-        "comment": "comment comments commentlist disqus reply replies respond discussion reviews guestbook",
+        "footer": "footer sitefooter pagefooter copyright colophon contentinfo",
+        "sidebar": "sidebar aside widget widgets related recommended recommendations trending popular complementary share sharing social follow",
+        "comment": "comment comments commentlist disqus reply replies respond guestbook",
         "notice": "cookie cookies consent gdpr notice disclaimer interstitial alert popup modal overlay newsletter subscribe subscription signup paywall toast",
         "form": "form login search",
     }.items()
     for word in words.split()
 }
-#: Words before a hint that tell of a page's layout, not of the element.
-LAYOUT = frozenset("has have with without no hide show".split())
+# Words in class and id that name a part of a layout and no kind.
+PARTS_OF_LAYOUT = frozenset(
+    "area bar block body bottom box btn button col column container content cont entry first foot global group head heading holder inner item items label last layout left line link links "
+    "list ls main mobile module outer page panel post primary right row secondary section shell site slot text title toggle top unit view wrap wrapper zone s".split()
+)
+HOLDS_BLOCKS = frozenset("div section aside nav header footer form ul ol dl table tbody tr td main article figure dialog details center".split())
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HINTS = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?|[^<]+|<""", re.S)
+#: A quote opens a value only after an equals sign.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>?|[^<]+|<""", re.S)
 _CLOSE: dict[str, re.Pattern] = {}
 
 
@@ -70,22 +76,38 @@ class Run:
     at: int = 0
 
 
+def kind_of_hints(name: str, attributes: str) -> str:
+    """The kind that class, id and role name, or nothing. The last fitting token decides."""
+    found = ""
+    for which, *values in HINTS.findall(attributes):
+        if which.lower() == "id" and name not in HOLDS_BLOCKS:
+            continue
+        for token in "".join(values).split():
+            words = [w.lower() for w in PARTS.findall(token)]
+            kinds = [KIND_OF_HINT[w] for w in words if w in KIND_OF_HINT]
+            if kinds and all(w in KIND_OF_HINT or w in PARTS_OF_LAYOUT for w in words):
+                found = kinds[-1]
+    return found
+
+
 @dataclass
 class _Parser:
     runs: list[Run] = field(default_factory=list)
-    stack: list[tuple[str, str]] = field(default_factory=list)  # (element, kind that holds inside)
+    stack: list[tuple[str, str, str]] = field(default_factory=list)  # (element, kind that holds inside, innermost block)
+    places: dict[str, list[int]] = field(default_factory=dict)  # where each open element stands in the stack
     block: int = 0
-    links: int = 0
 
     def kind(self) -> str:
         return self.stack[-1][1] if self.stack else "plain"
 
     def pop(self, name: str) -> None:
-        while self.stack:
-            top = self.stack.pop()[0]
-            self.links -= top == "a"
-            if top == name:
-                break
+        """Closes the last open element of that name and all inside it."""
+        at = self.places[name][-1]
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+
+    def last(self, *names: str) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
     def inner_kind(self, name: str, attributes: str) -> str:
         outer = self.kind()
@@ -93,12 +115,7 @@ class _Parser:
         if name not in ("html", "body", "main", "article") and attributes:
             if HIDDEN.search(attributes):
                 found = "notice"
-            for groups in HINTS.findall(attributes):
-                before = ""
-                for word in PARTS.findall("".join(groups)):
-                    if before not in LAYOUT:
-                        found = KIND_OF_HINT.get(word.lower(), found)
-                    before = word.lower()
+            found = kind_of_hints(name, attributes) or found
         if outer not in ("plain", "article"):
             # a whole page may stand in a form
             return "article" if name == "main" or name == "article" and outer == "form" else outer
@@ -107,25 +124,23 @@ class _Parser:
         return found or outer
 
     def open(self, name: str, attributes: str, at: int) -> None:
-        if name in ENDS_PARAGRAPH and any(n == "p" for n, _ in self.stack[-8:]):
+        if name in ENDS_PARAGRAPH and self.places.get("p"):
             self.pop("p")
-        elif name in ("li", "dt", "dd", "tr", "td", "th") and self.stack:
-            for n, _ in reversed(self.stack):
-                if n in ("ul", "ol", "dl", "table", "menu") or n == "tr" and name in ("td", "th"):
-                    break
-                if n == name or {n, name} <= {"dt", "dd"} or {n, name} <= {"td", "th"}:
-                    self.pop(n)
-                    break
+        elif name in ("li", "dt", "dd", "tr", "td", "th"):
+            alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
+            around = ("ul", "ol", "dl", "table", "menu", *(("tr",) if name in ("td", "th") else ()))
+            if (top := self.last(*alike)) > self.last(*around):
+                self.pop(self.stack[top][0])
         if name not in INLINE:
             self.block += 1
         kind = self.inner_kind(name, attributes)
         self.runs.append(Run((f"tag {name}",), 0, self.block, at=at))
         if name not in VOID and not attributes.endswith("/"):
-            self.stack.append((name, kind))
-            self.links += name == "a"
+            self.places.setdefault(name, []).append(len(self.stack))
+            self.stack.append((name, kind, name if name not in INLINE else self.stack[-1][2] if self.stack else "body"))
 
     def close(self, name: str, at: int) -> None:
-        if any(n == name for n, _ in self.stack):
+        if self.places.get(name):
             self.pop(name)
         if name not in INLINE:
             self.block += 1
@@ -134,9 +149,9 @@ class _Parser:
     def text(self, raw: str, at: int) -> None:
         decoded = _html.unescape(raw)
         n = len(decoded.split())
-        place = next((x for x, _ in reversed(self.stack) if x not in INLINE), "body")
+        place = self.stack[-1][2] if self.stack else "body"
         place = "heading" if re.fullmatch("h[1-6]", place) else place if place in ("p", "li", "td") else "other"
-        self.runs.append(Run((f"in {self.kind()}", f"link {self.links > 0}", f"place {place}"), n, self.block, decoded, at))
+        self.runs.append(Run((f"in {self.kind()}", f"link {bool(self.places.get('a'))}", f"place {place}"), n, self.block, decoded, at))
 
 
 def parse(page: str) -> list[Run]:
@@ -208,7 +223,10 @@ def train(pages: list[list[tuple[str, bool]]]) -> Weights:
 
     names = {*inside, *outside} - {"words", "tags"}
     score = {f: min(-0.1, odds(f, "tags") - 1) if f.startswith("tag ") else odds(f, "words") for f in names}
-    return Weights(score, -1.0, 0.5)
+    # a word's own evidence is the share of content among all words; an unknown tag counts as the mean of the known ones
+    base = log((inside["words"] + 1) / (outside["words"] + 1))
+    tags = [v for f, v in score.items() if f.startswith("tag ")]
+    return Weights(score, sum(tags) / max(1, len(tags)), base)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

@@ -30,6 +30,8 @@ def _around(r: random.Random) -> list[str]:
         f'<section class="comments"><h2>{w(r, 1, 3)}</h2>' + "".join(f"<div><b>{w(r, 1, 2)}</b><p>{w(r, 5, 30)}</p></div>" for _ in range(3)) + "</section>",
         f"<footer>&copy; {w(r, 1, 3)} &middot; {w(r, 4, 15)}</footer>",
         f'<div class="footer"><p>{w(r, 5, 15)}</p><a href="/c">{w(r, 1, 2)}</a></div>',
+        "<table><tr>" + "".join(f'<td><a href="/t{i}">{w(r, 1, 3)}</a></td>' for i in range(7)) + "</tr></table>",
+        "<table>" + "".join(f'<tr><td>{w(r, 1, 2)}</td><td><a href="/t{i}">{w(r, 1, 3)}</a></td></tr>' for i in range(4)) + "</table>",
     ]
 
 
@@ -49,7 +51,7 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[list[tuple[str, bool]]]:
     for i in range(n):
         r = random.Random(seed * 1000 + i)
         around = _around(r)
-        before, after = r.sample(around[:9], r.randint(1, 4)), r.sample(around[4:], r.randint(1, 5))
+        before, after = r.sample([*around[:9], *around[12:]], r.randint(1, 4)), r.sample(around[4:], r.randint(1, 5))
         head = f"<!DOCTYPE html><html><head><title>{_words(r, 3, 8)}</title><style>p{{}}</style></head><body>"
         pages.append([(head, False), *((x, False) for x in before), *_article(r), *((x, False) for x in after), ("</body></html>", False)])
     return pages
