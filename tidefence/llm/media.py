@@ -2,7 +2,7 @@
 
 Bytes are stored as 8-bit mono samples of a WAV file and read back without loss. Frames of 384 samples every 192 are
 transformed; in each of four frequency bands a frame's strongest bin is a peak if it is also at least as strong as in
-the frames beside it and over the frame's mean. Each peak is paired with the next peaks (up to ``fan`` of them, within
+the frames beside it and over the frame's mean. Each peak is paired with the next peaks of later frames (up to ``fan`` of them, within
 ``reach`` frames). A landmark packs (bin, bin, frame distance) and stands in an array ordered by time, next to the
 array of times, so equal recordings have equal arrays and an excerpt has the same landmarks at shifted times.
 
@@ -80,11 +80,14 @@ def landmarks(samples: bytes, fan: int = 4, reach: int = 32) -> tuple[np.ndarray
     """Times and packed peak pairs, in order of time."""
     t, f = peaks(samples)
     times, codes = [], []
-    for k in range(1, fan + 1):
-        gap = t[k:] - t[:-k]
-        ok = (gap > 0) & (gap <= reach)
-        times.append(t[:-k][ok])
-        codes.append(f[:-k][ok] << 18 | f[k:][ok] << 8 | gap[ok])
+    later = np.searchsorted(t, t, side="right")  # the first peak of a later frame
+    for k in range(fan):
+        i = np.flatnonzero(later + k < len(t))
+        j = later[i] + k
+        gap = t[j] - t[i]
+        i, j, gap = (v[gap <= reach] for v in (i, j, gap))
+        times.append(t[i])
+        codes.append(f[i] << 18 | f[j] << 8 | gap)
     at, code = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((code, at))
     return at[order].astype(np.int32), code[order].astype(np.int32)
@@ -112,7 +115,8 @@ def media_columns(docs: DataFrame, most: int = 8_000_000) -> DataFrame:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Sizes and hashes of the file and its samples, and the landmark arrays as one string: how many landmarks, and the hash of both arrays."""
+    """Sizes and hashes of the file and its samples, the landmark arrays as one string (how many landmarks, and the hash of both arrays), and
+    the file and the arrays themselves."""
     arrays = F.concat_ws("|", F.array_join("times", ","), F.array_join("landmarks", ","))
     feature = F.concat_ws(":", F.size("landmarks").cast("string"), F.sha2(arrays, 256))
     file, size = F.col("media"), F.octet_length("media")
@@ -126,4 +130,7 @@ def digest(media: DataFrame) -> DataFrame:
         size.cast("long").alias("media_bytes"),
         F.sha2(file, 256).alias("media_sha256"),
         feature.alias("feature"),
+        "media",
+        "times",
+        "landmarks",
     )
