@@ -6,10 +6,10 @@ its cell, so equal texts share one, and the cell belongs to the next virtual nod
 (1 + slack) times the mean bytes: a cell whose home is full continues clockwise to the first shard with room. Larger
 cells are seated first. Where no shard has room, the emptiest takes the cell.
 
-Only the histogram of bytes by cell (at most ``cells`` rows) reaches the driver. A cell above 1/256 of all bytes
-(there are fewer than 256) is split into up to 256 parts by a hash of the id, which are seated one by one, so a
-group of copies larger than a shard's room fills its home first and then flows on. Rows are numbered inside cell
-parts and part offsets are added, so no task sorts a shard.
+Only the histogram of bytes by cell (at most ``cells`` rows) reaches the driver. A cell that fits no shard, by the bound on bytes, is split
+into up to 256 parts by a hash of the id, which are seated one by one, so a group of copies larger than a shard's room fills its home first and then
+flows on; every other cell, and so every group of equal texts that fits, stays whole. Rows are numbered inside cells and offsets are added, so no task
+sorts a shard; a cell with over 1/256 of all rows (there are fewer than 256), however few its bytes, is numbered in 256 parts.
 
 The law is ``bytes``: sizes nearly equal. Adding a shard moves the cells that its points take over and what the smaller bound
 pushes on; see tests.
@@ -36,6 +36,11 @@ def ring_of(shards: int, virtual_nodes: int, cells: int) -> list[tuple[int, int]
     return sorted((zlib.crc32(f"shard {s} node {v}".encode()) * cells >> 32, s) for s in range(shards) for v in range(virtual_nodes))
 
 
+def bound_of(total: int, shards: int, slack: float) -> float:
+    """The bytes that a shard may hold."""
+    return -(-total // shards) * (1 + slack)
+
+
 def seat(loads: list[tuple[int, int, int]], shards: int, virtual_nodes: int, cells: int, slack: float) -> list[int]:
     """loads: (cell, part, bytes). The shard of each."""
     ring = ring_of(shards, virtual_nodes, cells)
@@ -49,8 +54,7 @@ def seat(loads: list[tuple[int, int, int]], shards: int, virtual_nodes: int, cel
             if len(seen) == shards:
                 break
         after.append(list(seen))
-    total = sum(b for _, _, b in loads)
-    bound = -(-total // shards) * (1 + slack)
+    bound = bound_of(sum(b for _, _, b in loads), shards, slack)
     filled, out = [0] * shards, [0] * len(loads)
     for i in sorted(range(len(loads)), key=lambda i: (-loads[i][2], loads[i][0], loads[i][1])):
         cell, _, size = loads[i]
@@ -75,16 +79,21 @@ def shard(docs: DataFrame, *, shards: int = 16, virtual_nodes: int = 64, cells:
     )
     rows = stored(rows, "sizes")
     by_cell = {r["cell"]: (r["bytes"], r["n"]) for r in rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    total = sum(b for b, _ in by_cell.values())
-    heavy = sorted(c for c, (b, n) in by_cell.items() if b * SPLIT > total and n > 1)
-    part = F.when(F.col("cell").isin(heavy), F.pmod(F.xxhash64("doc_id", "size"), F.lit(SPLIT))).otherwise(0) if heavy else F.lit(0)
+    total, every = sum(b for b, _ in by_cell.values()), sum(n for _, n in by_cell.values())
+    bound = bound_of(total, shards, slack)
+    large = {c for c, (b, n) in by_cell.items() if b > bound and n > 1}
+    parted = sorted(large | {c for c, (_, n) in by_cell.items() if n * SPLIT > every and n > 1})
+    part = F.when(F.col("cell").isin(parted), F.pmod(F.xxhash64("doc_id", "size"), F.lit(SPLIT))).otherwise(0) if parted else F.lit(0)
     rows = rows.withColumn("part", part.cast("int"))
-    loads = [(c, 0, b, n) for c, (b, n) in by_cell.items() if c not in set(heavy)]
-    if heavy:
-        split = rows.filter(F.col("cell").isin(heavy)).groupBy("cell", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    loads = [(c, 0, b, n) for c, (b, n) in by_cell.items() if c not in set(parted)]
+    if parted:
+        split = rows.filter(F.col("cell").isin(parted)).groupBy("cell", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         loads += [(r["cell"], r["part"], r["bytes"], r["n"]) for r in split.collect()]
     loads.sort()
-    seats = seat([x[:3] for x in loads], shards, virtual_nodes, cells, slack)
+    # parts of a cell that fits are seated as one
+    seated = [(c, p, b) for c, p, b, _ in loads if c in large] + [(c, 0, b) for c, (b, _) in by_cell.items() if c not in large]
+    seat_of = dict(zip([(c, p) for c, p, _ in seated], seat(seated, shards, virtual_nodes, cells, slack), strict=True))
+    seats = [seat_of[c, p if c in large else 0] for c, p, _, _ in loads]
     begins, filled = [], [0] * shards
     for (_, _, _, n), s in zip(loads, seats, strict=True):
         begins.append(filled[s])
