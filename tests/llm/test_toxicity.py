@@ -32,18 +32,51 @@ def test_no_labels_and_empty_tables(docs, labels, empty):
 
 def test_label_model_finds_accuracies_and_correlations():
     r = np.random.default_rng(1)
-    n = 4000
+    n = 40_000
     y = (r.random(n) < 0.2).astype(float)
     fire = lambda good, bad: (r.random(n) < np.where(y > 0, bad, good)).astype(int)
-    a, b, noise = fire(0.02, 0.7), fire(0.05, 0.6), fire(0.5, 0.5)
-    votes = np.stack([a, b, noise, noise], axis=1)  # the last two are one voter twice
+    a, b, c, noise = fire(0.02, 0.7), fire(0.05, 0.6), fire(0.01, 0.3), fire(0.5, 0.5)
+    votes = np.stack([a, b, c, noise, noise], axis=1)  # the last two are one voter twice
     labelled, toxic = votes[:300], y[:300]
-    patterns, weight = np.unique(votes, axis=0, return_counts=True)
-    m = X.fit_label_model(patterns, weight.astype(float), labelled, toxic)
+    m = X.fit_label_model(votes.sum(0).astype(float), (votes.T @ votes).astype(float), n, labelled, toxic)
     gain = m.log_odds[:, 1] - m.log_odds[:, 0]
-    assert gain[0] > gain[1] > 5 * abs(gain[2])
+    assert gain[0] > gain[1] > 5 * abs(gain[3])
+    assert m.block[3] == m.block[4] and len(set(m.block)) == 4
+    assert abs(1 / (1 + np.exp(-m.prior)) - 0.2) < 0.05
     p = m.posterior(votes)
     assert p[y > 0].mean() > 0.7 > 0.2 > p[y == 0].mean()
+    # with few and unlucky anchors the corpus brings the rates nearer to the truth
+    poor = X.fit_label_model(votes.sum(0).astype(float), (votes.T @ votes).astype(float), n, votes[:40], y[:40])
+    alone = X.fit_label_model(np.zeros(5), np.zeros((5, 5)), 0, votes[:40], y[:40])
+    truth = np.log(0.7 / 0.02) - np.log(0.3 / 0.98)
+    far = lambda x: abs(x.log_odds[0, 1] - x.log_odds[0, 0] - truth)
+    assert far(poor) < far(alone)
+
+
+def test_counts_of_voters_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [([i for i in range(8) if r.random() < 0.3],) for _ in range(500)]
+    fired, together, n = X.co_firing(spark.createDataFrame(rows, "e array<int>"), "e", [1, 4, 6])
+    assert n == 500
+    for i, x in enumerate((1, 4, 6)):
+        assert fired[i] == sum(x in e for (e,) in rows)
+        for j, z in enumerate((1, 4, 6)):
+            assert together[i, j] == sum(x in e and z in e for (e,) in rows)
+
+
+def test_the_label_model_decides(docs, labels, corpus, monkeypatch):
+    """The classifier's only target is the posterior: without what the label model says, no row is told apart."""
+    monkeypatch.setattr(X.LabelModel, "posterior", lambda self, votes: np.full(len(votes), 0.5))
+    got = {r.doc_id: r.score for r in X.assess(docs, labels, min_rows=3).collect()}
+    toxic = [got[i] for i, t in corpus[1].items() if t]
+    clean = [got[i] for i, t in corpus[1].items() if not t]
+    assert max(toxic) - min(toxic) < 1e-6 and abs(np.mean(toxic) - np.mean(clean)) < 1e-6
+
+
+def test_clashing_columns(docs, clashing, labels):
+    assert sorted(map(str, X.assess(clashing.withColumn("entries", clashing["n"]), labels, min_rows=3).collect())) == sorted(map(str, X.assess(docs, labels, min_rows=3).collect()))
 
 
 def test_classifier_takes_repeats_as_no_sign_of_cleanness():

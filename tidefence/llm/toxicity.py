@@ -2,14 +2,18 @@
 
 1. Lexicon: whole words (``^word$``) and word beginnings (``^stem``), once or several times in a document (``^stem x3``), that
    labelled toxic documents have far more often than labelled clean ones, mined on a bounded sample of labelled rows.
-2. Voters: lexicon entries taken greedily (each one covers the most toxic sample rows not yet covered) plus
+2. Voters: lexicon entries taken greedily (each one covers the most toxic sample rows that few others cover yet), up to ``max_voters``, plus
    pattern voters on shouting, symbol noise and repetition. A voter fires or not.
-3. Label model: a two-class generative model. Every voter has a firing rate in either class; voters that
-   fire together within a class more than their rates explain are correlated, and their evidence is divided by
-   the size of their correlated block. Rates are estimated by EM on the histogram of all vote patterns of the
-   whole corpus (at most 2**voters rows), held near the labelled rows' rates by those rows' counts.
-4. Classifier: logistic regression over all lexicon entries and patterns, trained on the bounded sample with half the
-   posterior plus half the row's own label as target; its scale is set so that the threshold falls on the best cut of the sample by those labels.
+3. Label model: a two-class generative model. Every voter has a firing rate in either class. How often each voter fires and how often
+   each two fire together is counted over the whole corpus, a table of voters x voters whatever the size; the rates and the share of the toxic class
+   are those that explain these counts best by least squares, with the labelled rows' rates and share as anchors of equal weight, so that the
+   classes keep their meaning. Voters that fire together within a class more, or less, than their rates explain are correlated: such pairs are left out of
+   the fit, and a block of voters that fire together is one witness.
+4. Classifier: logistic regression over all lexicon entries and patterns, trained on the label model's posterior alone, on the bounded sample of labelled
+   rows and on a bounded sample of rows without a label. Labels are used to mine the lexicon, to anchor the rates, and to set the scale of the scores so that the
+   threshold falls on the best cut of the labelled sample; they are never a target.
+
+The entries of all texts are worked out once and stored; counts and scores come from them.
 
 Labels, votes and the sample come only from rows whose crc32(doc_id as text) mod folds is not held_out_fold.
 
@@ -27,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, remainder, text_blocks
+from .common import fresh, remainder, stored, text_blocks
 
 WORD = re.compile(r"[^\W\d_]+")
 UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
@@ -110,9 +114,11 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: pd.Series) -> np.ndarray:
-        z = np.array([self.bias + self.weights[f].sum() if f else self.bias for f in self.features.of(texts)])
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def column(self, features: str) -> Column:
+        """The score of a column of entry numbers, in the JVM."""
+        weights = F.array(*[F.lit(float(w)) for w in self.weights]) if len(self.weights) else F.array(F.lit(0.0))
+        z = F.aggregate(features, F.lit(float(self.bias)), lambda acc, f: acc + F.element_at(weights, f + 1))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
 
 
 def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +140,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, folds: int, held_out_fold: int
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.filter(F.col("toxic").isin(0, 1) & (remainder(F.col("label_id"), folds) != held_out_fold))
     chosen = usable.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").alias("label_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "label_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "label_id")
+    # of rows that repeat an id, one
+    return rows.groupBy("label_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def mine_lexicon(sample: DataFrame, max_entries: int, min_rows: int) -> tuple[dict[str, int], int, int]:
@@ -152,13 +159,21 @@ def mine_lexicon(sample: DataFrame, max_entries: int, min_rows: int) -> tuple[di
     return {r["entry"]: i for i, r in enumerate(top.collect())}, bad, good
 
 
-def choose_voters(rows: list[list[int]], toxic: np.ndarray, n_lexicon: int, max_voters: int) -> list[int]:
-    """Greedy cover of the toxic rows by lexicon entries; all patterns vote besides."""
+def choose_voters(rows: list[list[int]], toxic: np.ndarray, n_lexicon: int, max_voters: int, precise: float = 50.0) -> list[int]:
+    """Greedy cover of the toxic rows by lexicon entries that fire at least ``precise`` times as often in them as in clean rows (by all, if under
+    ten do); all patterns vote besides."""
     holds: dict[int, set[int]] = {}
-    for i in np.flatnonzero(toxic):
-        for f in rows[i]:
+    clean: Counter = Counter()
+    for i, row in enumerate(rows):
+        for f in row:
             if f < n_lexicon:
-                holds.setdefault(f, set()).add(i)
+                if toxic[i]:
+                    holds.setdefault(f, set()).add(i)
+                else:
+                    clean[f] += 1
+    bad, good = toxic.sum() + 1, len(rows) - toxic.sum() + 1
+    sure = {f: h for f, h in holds.items() if (len(h) + 0.5) / bad >= precise * (clean[f] + 0.5) / good}
+    holds = sure if len(sure) >= 10 else holds
     chosen: list[int] = []
     covered: Counter = Counter()
     while holds and len(chosen) < max_voters:
@@ -171,44 +186,70 @@ def choose_voters(rows: list[list[int]], toxic: np.ndarray, n_lexicon: int, max_
 
 @dataclass(frozen=True)
 class LabelModel:
-    """log_odds[j, v]: evidence of voter j when it does (v = 1) or does not (v = 0) fire; prior: log odds."""
+    """log_odds[j, v]: evidence of voter j when it does (v = 1) or does not (v = 0) fire; block[j]: its block of correlated voters; prior: log odds.
+
+    A block is one witness: the strongest of its voters that fire speaks for it or, if none does, the strongest of those that do not.
+    """
 
     log_odds: np.ndarray
+    block: np.ndarray
     prior: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = self.prior + np.where(votes > 0, self.log_odds[:, 1], self.log_odds[:, 0]).sum(axis=1)
+        z = np.full(len(votes), self.prior)
+        for b in np.unique(self.block):
+            some = np.flatnonzero(self.block == b)
+            fired = votes[:, some] > 0
+            says = np.where(fired, self.log_odds[some, 1], -np.inf).max(axis=1, initial=-np.inf)
+            z += np.where(fired.any(axis=1), says, self.log_odds[some, 0].min())
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, labelled: np.ndarray, toxic: np.ndarray, rounds: int = 30, correlated: float = 0.3) -> LabelModel:
-    """votes (patterns x voters) with weights; labelled (rows x voters) with labels anchors the classes."""
-    m = votes.shape[1]
-    bad, good = max(1, toxic.sum()), max(1, (1 - toxic).sum())
+def fit_label_model(fired: np.ndarray, together: np.ndarray, rows: float, labelled: np.ndarray, toxic: np.ndarray, rounds: int = 60, correlated: float = 0.3, unrelated: float = 0.1) -> LabelModel:
+    """fired (voters) and together (voters x voters): in how many of the corpus's rows; labelled (rows x voters) with labels anchors the classes."""
+    m = len(fired)
+    bad, good = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
     anchor = np.stack([((labelled * (1 - toxic)[:, None]).sum(0) + 0.5) / (good + 1), ((labelled * toxic[:, None]).sum(0) + 0.5) / (bad + 1)])
     share = bad / (bad + good)
-    rates, size = anchor.copy(), np.ones(m)
-    # correlation of two voters within a class, by the labelled rows; blocks of correlated voters share their evidence
+    rates, free = anchor.copy(), ~np.eye(m, dtype=bool)
+    apart = free.copy()
+    # correlation of two voters within a class, by the labelled rows; a block is what such pairs connect
     for y in (0, 1):
-        rows = labelled[toxic == y].astype(float)
-        if len(rows) > 10:
-            d = rows - rows.mean(0)
+        part = labelled[toxic == y].astype(float)
+        if len(part) > 10:
+            d = part - part.mean(0)
             s = np.sqrt((d**2).mean(0)) + 1e-9
-            size = np.maximum(size, ((d.T @ d / len(rows)) / np.outer(s, s) > correlated).sum(1))
-
-    def model() -> LabelModel:
-        rate = np.clip(rates, 1e-6, 1 - 1e-6)
-        odds = np.stack([np.log((1 - rate[1]) / (1 - rate[0])), np.log(rate[1] / rate[0])], axis=1)
-        return LabelModel(odds / size[:, None], float(np.log(share / (1 - share))))
-
-    for _ in range(rounds):
-        p = model().posterior(votes)
-        for y, q, n in ((1, p * weight, bad), (0, (1 - p) * weight, good)):
-            total = q.sum()
-            n = max(n, total)  # the labelled rows' rates weigh at least as much as all others together
-            rates[y] = ((q[:, None] * votes).sum(0) + n * anchor[y]) / (total + n)
-        share = float(np.clip((p @ weight + bad) / (weight.sum() + bad + good), 1e-4, 1 - 1e-4))
-    return model()
+            r = (d.T @ d / len(part)) / np.outer(s, s)
+            apart &= r <= correlated
+            free &= np.abs(r) <= unrelated
+    if rows:
+        single, pair = fired / rows, together / rows
+        for _ in range(rounds):
+            mix = np.array([1 - share, share])
+            for i in range(m):
+                j = np.flatnonzero(free[i])
+                # what voter i does alone and with each other one is linear in its two rates
+                x = np.vstack([mix, (mix[:, None] * rates[:, j]).T])
+                seen = np.concatenate([[single[i]], pair[i, j]])
+                w = rows / (seen + 1 / rows)
+                normal, right = (x * w[:, None]).T @ x, (x * w[:, None]).T @ seen
+                hold = np.diag(normal).copy()  # the anchors weigh as much as the corpus
+                rates[:, i] = np.clip(np.linalg.solve(normal + np.diag(hold), right + hold * anchor[:, i]), 1e-6, 1 - 1e-6)
+            i, j = np.nonzero(np.triu(free))
+            gap, base = rates[1, i] * rates[1, j] - rates[0, i] * rates[0, j], rates[0, i] * rates[0, j]
+            gap, base, seen = (np.concatenate(v) for v in ((gap, rates[1] - rates[0]), (base, rates[0]), (pair[i, j], single)))
+            w = rows / (seen + 1 / rows)
+            found = float(np.clip((w * gap) @ (seen - base) / max(1e-12, (w * gap) @ gap), 1e-4, 0.5))
+            share = (found + bad / (bad + good)) / 2
+    rate = np.clip(rates, 1e-6, 1 - 1e-6)
+    odds = np.stack([np.log((1 - rate[1]) / (1 - rate[0])), np.log(rate[1] / rate[0])], axis=1)
+    block = np.arange(m)
+    while True:  # at most m rounds
+        least = np.where(apart, m, block[None, :]).min(axis=1)
+        if (least >= block).all():
+            break
+        block = np.minimum(block, least)
+    return LabelModel(odds, block, float(np.log(share / (1 - share))))
 
 
 def fit_classifier(rows: list[list[int]], target: np.ndarray, width: int, n_lexicon: int) -> tuple[np.ndarray, float]:
@@ -278,68 +319,90 @@ def calibrate(weights: np.ndarray, bias: float, rows: list[list[int]], toxic: np
     return weights * steep, (bias - cut) * steep + float(np.log(threshold / (1 - threshold)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out_fold: int = 1, max_labelled: int = 12_000, max_entries: int = 400, max_voters: int = 12, min_rows: int = 15, threshold: float = 0.7) -> Scorer:
-    """max_labelled bounds the labelled sample that the lexicon, the anchors and the classifier are fitted on;
-    max_voters (at most 12, with 4 patterns) bounds the histogram of vote patterns to 65,536 rows."""
-    spark = docs.sparkSession
+def with_entries(docs: DataFrame, features: Features, name: str) -> DataFrame:
+    """docs with the entry numbers of text as the column name."""
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    @F.pandas_udf("array<int>")
+    def entries(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.of(texts), dtype=object)
+
+    return docs.withColumn(name, entries(F.col("text").cast("string")))
+
+
+def co_firing(entries: DataFrame, name: str, voters: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often each voter fires, how often each two fire together, and how many rows there are: each task sends one table of
+    voters x voters at most."""
+    bit = {f: j for j, f in enumerate(voters)}
+    m = len(voters)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both, n = np.zeros((m, m), dtype=np.int64), 0
+        for batch in it:
+            n += len(batch)
+            alike = Counter(tuple(bit[f] for f in fs if f in bit) for fs in batch[name])
+            for fs, k in alike.items():
+                if fs:
+                    both[np.ix_(fs, fs)] += k
+        i, j = np.nonzero(both)
+        yield pd.DataFrame({"i": np.append(i, -1), "j": np.append(j, -1), "n": np.append(both[i, j], n)})
+
+    got = entries.select(name).mapInPandas(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    total = int(got.loc[got["i"] < 0, "n"].sum())
+    got = got[got["i"] >= 0]
+    both = np.zeros((m, m))
+    both[got["i"], got["j"]] = got["n"]
+    return np.diag(both).copy(), both, total
+
+
+def prepare(docs: DataFrame, labels: DataFrame, name: str, *, folds: int = 3, held_out_fold: int = 1, max_labelled: int = 12_000, max_unlabelled: int = 20_000, max_entries: int = 400, max_voters: int = 100, min_rows: int = 15, threshold: float = 0.7, keep: tuple[str, ...] | None = None) -> tuple[DataFrame, Scorer]:
+    """docs (or its columns keep), stored with entry numbers as the column name, and the fitted scorer.
+
+    max_labelled bounds the labelled sample that the lexicon, the anchors and the cut come from, max_unlabelled (about) the other rows that the classifier is
+    trained on; max_voters bounds the table of counts.
+    """
     sample = sample_of(docs, labels, folds, held_out_fold, max_labelled)
     lexicon, bad, good = mine_lexicon(sample, max_entries, min_rows)
     features = Features(lexicon)
     width = len(lexicon) + len(PATTERNS)
+    entries = with_entries(docs, features, name)
+    entries = stored(entries.select(*keep, name) if keep else entries, "entries")
     if not bad or not good:
-        return Scorer(features, np.zeros(width), -40.0)
-    shared = spark.sparkContext.broadcast(features)
-
-    def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in it:
-            yield pd.DataFrame({"f": shared.value.of(batch["text"]), "toxic": batch["toxic"]})
-
-    got = sample.mapInPandas(encode, "f array<int>, toxic int").toPandas()
+        return entries, Scorer(features, np.zeros(width), -40.0)
+    got = with_entries(sample, features, "f").select("f", "toxic").toPandas()
     rows, toxic = [list(f) for f in got["f"]], got["toxic"].to_numpy(float)
     voters = choose_voters(rows, toxic, len(lexicon), max_voters)
-    bit = {f: j for j, f in enumerate(voters)}
-
-    def vote(f: list[int]) -> int:
-        return sum(1 << bit[x] for x in f if x in bit)
-
-    @F.pandas_udf("int")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([vote(f) for f in shared.value.of(texts)], dtype="int32")
 
-    seen = docs.filter(remainder(F.col("doc_id"), folds) != held_out_fold).select(mask(F.col("text").cast("string")).alias("m"))
-    patterns = seen.groupBy("m").agg(F.count("*").alias("n")).collect()
-
-    def spread(masks: np.ndarray) -> np.ndarray:
-        return (masks[:, None] >> np.arange(len(voters)) & 1).astype(np.int8)
-
-    labelled = spread(np.array([vote(f) for f in rows], dtype=np.int64))
-    model = fit_label_model(spread(np.array([r["m"] for r in patterns], dtype=np.int64)), np.array([r["n"] for r in patterns], dtype=float), labelled, toxic)
-    # the vote posterior and the label itself are two witnesses of equal standing
-    target = 0.5 * model.posterior(labelled) + 0.5 * toxic
-    weights, bias = calibrate(*fit_classifier(rows, target, width, len(lexicon)), rows, toxic, threshold)
-    return Scorer(features, weights, bias)
-
-
-def score_column(docs: DataFrame, model: Scorer):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts))
+    def votes_of(some: list[list[int]]) -> np.ndarray:
+        bit = {f: j for j, f in enumerate(voters)}
+        out = np.zeros((len(some), len(voters)), dtype=np.int8)
+        for i, fs in enumerate(some):
+            out[i, [bit[f] for f in fs if f in bit]] = 1
+        return out
 
-    return score(F.col("text").cast("string"))
+    seen = entries.filter(remainder(F.col("doc_id"), folds) != held_out_fold)
+    fired, together, total = co_firing(seen, name, voters)
+    labelled = votes_of(rows)
+    model = fit_label_model(fired, together, total, labelled, toxic)
+    share = min(1.0, max_unlabelled / max(1, total))
+    more = seen.filter(F.pmod(F.xxhash64("doc_id", name), F.lit(1_000_000)) < share * 1_000_000).select(name).limit(2 * max_unlabelled)
+    others = [list(r[0]) for r in more.collect()]
+    target = np.concatenate([model.posterior(labelled), model.posterior(votes_of(others))])
+    weights, bias = calibrate(*fit_classifier(rows + others, target, width, len(lexicon)), rows, toxic, threshold)
+    return entries, Scorer(features, weights, bias)
 
 
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text, ...)."""
     folds, held_out = options.get("folds", 3), options.get("held_out_fold", 1)
-    rows = docs.select("doc_id", "text").withColumn("score", score_column(docs, fit(docs, labels, threshold=threshold, **options)))
+    entries, model = prepare(docs.select("doc_id", "text"), labels, "entries", threshold=threshold, keep=("doc_id",), **options)
     held = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
+    rows = entries.withColumn("score", model.column("entries"))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of docs that score below threshold; all columns stay."""
     name = fresh(docs, "toxicity")
-    scored = docs.withColumn(name, score_column(docs, fit(docs, labels, threshold=threshold, **options)))
-    return scored.filter(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    entries, model = prepare(docs, labels, name, threshold=threshold, **options)
+    return entries.filter(model.column(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
