@@ -86,3 +86,25 @@ def test_chunks_change_nothing(docs):
     model = L.fit(docs)
     texts = pd.Series(["koba mitur " * 50, "schelich", None, "ba"] * 5)
     assert model.predict(texts).equals(model.predict(texts, chunk_chars=10))
+
+
+def test_texts_of_no_learned_language_go(spark, docs, clashing):
+    import random
+
+    r = random.Random(4)
+    odd = [(5000 + i, " ".join("".join(r.choice("qxzjvwkgqyhfp") for _ in range(r.randint(3, 9))) for _ in range(40)), None, "s", 0) for i in range(20)]
+    odd += [(6000 + i, "слово за слово и ещё одно слово длинное предложение на другом языке", None, "s", 0) for i in range(3)]
+    df = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = {x.doc_id for x in L.keep_identified(df).collect()}
+    assert set(range(242)) | {245, None} <= kept and not kept & {242, 243, 244} and not any(i is not None and i >= 5000 for i in kept)
+    assert L.keep_identified(clashing).columns == clashing.columns
+
+
+def test_blank_lang_is_a_value(spark):
+    rows = [(i, "ba komi mitur ba" if i % 2 else "schelich ungver lich", "xx" if i % 2 else "") for i in range(40)]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"xx", ""} and all(r.lang_pred == rows[r.doc_id][2] for r in got)
+
+
+def test_clashing_columns(docs, clashing):
+    assert sorted(map(str, L.identify(clashing).collect())) == sorted(map(str, L.identify(docs).collect()))
