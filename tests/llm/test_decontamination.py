@@ -70,6 +70,7 @@ def test_screen_and_blocks(spark, docs, benchmark, corpus):
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(names), hit > 0)
             assert r.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
     kept = {r.doc_id: r for r in D.remove_leaks(df, benchmark).collect()}
+    assert sorted(map(str, D.remove_leaks(df, benchmark, block_words=15).collect())) == sorted(map(str, D.remove_leaks(df, benchmark).collect()))
     assert 902 not in kept and kept[901].text == "a  here" and kept[901].n_chars == 7
     assert kept[0].text == rows[0][1] and kept[242].text is None and kept[243].text == ""
     assert 900 not in kept or "ALPHA" not in kept[900].text
@@ -81,3 +82,17 @@ def test_empty_tables_and_clashing_columns(spark, docs, empty, clashing, benchma
     assert D.digest(D.screen(docs, none)).filter("contaminated").count() == 0
     kept = D.remove_leaks(clashing, benchmark)
     assert kept.columns == clashing.columns and kept.count() == docs.count()
+
+
+def test_a_large_benchmark_comes_in_blocks(spark):
+    """Each block is bounded by its words and named items are those of all blocks."""
+    r = random.Random(9)
+    items = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(40))) for i in range(400)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(D.blocks_of(benchmark, 10, 2000))
+    assert len(blocks) == 8 and all(len(b.length) <= 2 * 2000 + 1 for b in blocks) and sum(len(b.names) for b in blocks) == 400
+    text = " ".join(["lead in"] + [items[i][1] for i in (3, 120, 399)] + ["way out"])
+    docs = spark.createDataFrame([(0, text), (1, "nothing"), (2, None)], "doc_id long, text string")
+    got = {x.doc_id: x for x in D.screen(docs, benchmark, block_words=2000).collect()}
+    assert got[0]["items"] == sorted(["3", "120", "399"]) and got[0].n_hit == 120 and got[1].n_hit == got[2].n_hit == 0
+    assert sorted(map(str, got.values())) == sorted(map(str, D.screen(docs, benchmark).collect()))

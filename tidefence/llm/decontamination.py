@@ -9,8 +9,9 @@ find them in the same stream. Words that no item has end every run, so only stre
 Every state knows the items with its runs (an item enters all states of its own prefixes, and is carried along the
 suffix links), so a hit window names its items.
 
-The automaton is driven in blocks of at most ``block_words`` item words, each sent to the executors with that bound on
-its size; documents pass through one block after another, whatever the number of blocks, and hit positions are united.
+The items are read in blocks of at most ``block_words`` words (an item is never parted). One block's automaton at a time is built from a stream of the
+items and sent to the executors; documents pass through one block after another, and what they hit is stored and united. So the driver and a
+worker hold one block, whatever the size of the benchmark; each further block is one more pass over the documents.
 
 Cases: null and empty texts have no words and no hits; items that are null or have no words are ignored; equal items are all named.
 An empty benchmark hits nothing. Repeated rows are judged alike. Other columns are ignored, whatever they are called.
@@ -21,13 +22,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, stored
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -164,26 +167,52 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-class Index:
-    """All blocks of test items as broadcasts of automata."""
+def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
+    """The automata of all blocks, one after another; one without items for an empty benchmark."""
+    block: list[tuple[str, list[bytes]]] = []
+    size = 0
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).toLocalIterator():
+        words = words_of(row["text"])
+        if not words:
+            continue
+        if block and size + len(words) > block_words:
+            yield SuffixAutomaton(block, window)
+            block, size = [], 0
+        block.append((row["item"] or "", words))
+        size += len(words)
+    yield SuffixAutomaton(block, window)
 
-    def __init__(self, benchmark: DataFrame, window: int, block_words: int) -> None:
-        self.window = window
-        context = benchmark.sparkSession.sparkContext
-        self.blocks = []
-        block: list[tuple[str, list[bytes]]] = []
-        size = 0
-        for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).toLocalIterator():
-            words = words_of(row["text"])
-            if not words:
-                continue
-            if block and size + len(words) > block_words:
-                self.blocks.append(context.broadcast(SuffixAutomaton(block, window)))
-                block, size = [], 0
-            block.append((row["item"] or "", words))
-            size += len(words)
-        if block:
-            self.blocks.append(context.broadcast(SuffixAutomaton(block, window)))
+
+FOUND = "n_words long, n_hit long, spans array<array<int>>, items array<string>"
+
+
+def _passed(rows: DataFrame, block: Broadcast, name: str) -> DataFrame:
+    """rows(text, name) with the block's hits united into the column name, a struct of FOUND."""
+
+    @F.pandas_udf(FOUND)
+    def find(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, old, had in zip(texts, spans, items, strict=True):
+            n, new, names = hits_of(text, [block.value])
+            new = united([*new, *((int(a), int(b)) for a, b in old)])
+            out.append((n, sum(b - a for a, b in new), [list(s) for s in new], sorted({*names, *had})))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "spans", "items"])
+
+    return rows.withColumn(name, find.asNondeterministic()(F.col("text").cast("string"), F.col(name)["spans"], F.col(name)["items"]))
+
+
+def screened(rows: DataFrame, blocks: Iterator[SuffixAutomaton], name: str) -> tuple[DataFrame, int]:
+    """rows(text, ...) with the struct FOUND as the column name, and how many blocks there were. With several, each pass is stored."""
+    context = rows.sparkSession.sparkContext
+    rows = rows.withColumn(name, F.expr("named_struct('n_words', 0L, 'n_hit', 0L, 'spans', cast(array() as array<array<int>>), 'items', cast(array() as array<string>))"))
+    ahead, n = next(blocks), 0
+    while ahead is not None:
+        sent, n = context.broadcast(ahead), n + 1
+        rows, ahead = _passed(rows, sent, name), next(blocks, None)
+        if ahead is not None or n > 1:
+            rows = stored(rows, "screened")
+            sent.destroy()
+    return rows, n
 
 
 def hits_of(text: str | None, blocks: list[SuffixAutomaton]) -> tuple[int, list[tuple[int, int]], list[str]]:
@@ -198,41 +227,39 @@ def hits_of(text: str | None, blocks: list[SuffixAutomaton]) -> tuple[int, list[
     return len(words), united(spans), sorted(names)
 
 
+def cut(text: str, n: int, spans: list[tuple[int, int]], min_words: int, max_coverage: float) -> tuple[bool, str, bool]:
+    """Whether the text stays (hits cover at most max_coverage of its n words), the text without spans of min_words or more, whether any was."""
+    if spans and sum(b - a for a, b in spans) > max_coverage * n:
+        return False, text, False
+    spans = [s for s in spans if s[1] - s[0] >= min_words]
+    if not spans:
+        return True, text, False
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in WORD.finditer(raw)]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    kept.append(raw[at:])
+    return True, b"".join(kept).decode("utf-8", "surrogatepass"), True
+
+
 def cleaned(text: str | None, blocks: list[SuffixAutomaton], min_words: int, max_coverage: float) -> str | None:
     """The text without hit spans of min_words or more; null if hits cover more than max_coverage of its words.
     Repeated until nothing is left to remove, as what stood on both sides of a span may join to a new hit."""
     while text:
         n, spans, _ = hits_of(text, blocks)
-        if spans and sum(b - a for a, b in spans) > max_coverage * n:
+        stays, text, changed = cut(text, n, spans, min_words, max_coverage)
+        if not stays:
             return None
-        spans = [s for s in spans if s[1] - s[0] >= min_words]
-        if not spans:
+        if not changed:
             break
-        raw = text.encode("utf-8", "surrogatepass")
-        places = [m.span() for m in WORD.finditer(raw)]
-        kept, at = [], 0
-        for a, b in spans:
-            kept.append(raw[at : places[a][0]])
-            at = places[b - 1][1]
-        kept.append(raw[at:])
-        text = b"".join(kept).decode("utf-8", "surrogatepass")
     return text
 
 
 def screen(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000) -> DataFrame:
     """doc_id, n_words, spans (array of begin, end), items (sorted ids) for every row of docs(doc_id, text, ...)."""
-    index = Index(benchmark, window, block_words)
-
-    @F.pandas_udf("n_words long, n_hit long, spans array<array<int>>, items array<string>")
-    def find(texts: pd.Series) -> pd.DataFrame:
-        blocks = [b.value for b in index.blocks]
-        rows = []
-        for text in texts:
-            n, spans, names = hits_of(text, blocks)
-            rows.append((n, sum(b - a for a, b in spans), [list(s) for s in spans], names))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items"])
-
-    found = docs.select("doc_id", find(F.col("text").cast("string")).alias("h"))
+    found, _ = screened(docs.select("doc_id", "text"), blocks_of(benchmark, window, block_words), "h")
     return found.select("doc_id", "h.n_words", "h.n_hit", "h.spans", "h.items")
 
 
@@ -243,18 +270,45 @@ def digest(screened: DataFrame) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, min_words: int = 1, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """docs without test passages: hit spans of min_words or more are cut out of the text, and rows whose words are hit by more
-    than max_coverage go. A column n_chars is counted anew where it is a whole number; all other columns stay."""
-    index = Index(benchmark, window, block_words)
-
-    @F.pandas_udf("keep boolean, text string")
-    def clean(texts: pd.Series) -> pd.DataFrame:
-        blocks = [b.value for b in index.blocks]
-        rows = [(t is None or (c := cleaned(t, blocks, min_words, max_coverage)) is not None, None if t is None else c) for t in texts]
-        return pd.DataFrame(rows, columns=["keep", "text"])
-
-    name = fresh(docs, "decontaminated")
-    # marked so that the filter and the projection share one call
-    done = docs.withColumn(name, clean.asNondeterministic()(F.col("text").cast("string"))).filter(F.col(name)["keep"])
+    than max_coverage go. A column n_chars is counted anew where it is a whole number; all other columns stay.
+
+    With one block a text is cut until nothing is left inside one call. With several, all rows pass all blocks and are cut, again until no row changes.
+    """
+    name, hits = fresh(docs, "decontaminated"), fresh(docs, "decontamination_hits")
+    blocks = blocks_of(benchmark, window, block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        @F.pandas_udf("keep boolean, text string")
+        def clean(texts: pd.Series) -> pd.DataFrame:
+            rows = [(t is None or (c := cleaned(t, [shared.value], min_words, max_coverage)) is not None, None if t is None else c) for t in texts]
+            return pd.DataFrame(rows, columns=["keep", "text"])
+
+        # marked so that the filter and the projection share one call
+        done = docs.withColumn(name, clean.asNondeterministic()(F.col("text").cast("string"))).filter(F.col(name)["keep"])
+        return _renewed(docs, done, name)
+
+    @F.pandas_udf("keep boolean, text string, changed boolean")
+    def once(texts: pd.Series, n: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = [(True, None, False) if t is None else cut(t, k, [(int(a), int(b)) for a, b in s], min_words, max_coverage) for t, k, s in zip(texts, n, spans, strict=True)]
+        return pd.DataFrame(rows, columns=["keep", "text", "changed"])
+
+    rows = docs
+    blocks = chain([first, second], blocks)
+    while True:
+        found, _ = screened(rows, blocks, hits)
+        done = found.withColumn(name, once.asNondeterministic()(F.col("text").cast("string"), F.col(hits)["n_words"], F.col(hits)["spans"]))
+        done = stored(done.filter(F.col(name)["keep"]), "cut")
+        rows = _renewed(docs, done, name)
+        if not done.filter(F.col(name)["changed"]).head(1):
+            return rows
+        blocks = blocks_of(benchmark, window, block_words)
+
+
+def _renewed(docs: DataFrame, done: DataFrame, name: str) -> DataFrame:
+    """The columns of docs from done, with text (and n_chars where it changed) from the struct name."""
     columns = []
     for c, kind in docs.dtypes:
         if c == "text":
