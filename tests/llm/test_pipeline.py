@@ -1,4 +1,9 @@
+import zlib
+
+import numpy as np
+
 import corpus_pipeline as P
+from tidefence.llm.common import WRITTEN
 from tidefence.llm import decontamination as D
 from tidefence.llm import near_duplicates as N
 from tidefence.llm.tokens import default_path, encode
@@ -15,15 +20,30 @@ def tables(spark, docs, labels, folder):
 def test_pipeline_against_brute_force(spark, docs, labels, corpus, tmp_path):
     tables(spark, docs, labels, str(tmp_path))
     rows = {}
-    for r in P.run(spark, str(tmp_path)).collect():
+    before = list(WRITTEN)
+    packed = P.run(spark, str(tmp_path))
+    assert len(WRITTEN) == len(before) + 1  # only the result is left
+    for r in packed.collect():
         rows.setdefault(r.doc_id, []).append(r)
     # odd ones (no letters), toxic ones, copies, and the one that is a benchmark item go; the rest stays
     toxic = {i for i, t in corpus[1].items() if t}
     want = {*range(240), 245, None} - toxic - {6} | ({241} if 4 in toxic else set())
     assert set(rows) == want
     text = {r[0]: r[1] for r in corpus[0]}
+    sequences = {}
     for doc, parts in rows.items():
-        assert sum(p.length for p in parts) == len(encode(text[doc], default_path())) + 1
+        ids = [*encode(text[doc], default_path()), 0]
+        assert sum(p.length for p in parts) == len(ids)
+        for p in sorted(parts, key=lambda p: p.piece):
+            piece = np.array(ids[p.start : p.start + p.length], dtype="<u4").tobytes()
+            assert p.ids_crc32 == zlib.crc32(piece)
+            sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
 
 
 def test_each_stage_alone(spark, docs, labels, clashing, empty, tmp_path):

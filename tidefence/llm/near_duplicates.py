@@ -581,10 +581,10 @@ def linked(docs: DataFrame, one: DataFrame, n: int, similarity: float) -> DataFr
     """(a, b): verified links between nodes of different labels that share a key of one(node, label, doc_id, size, sketch, keys)."""
     least = similarity - 0.12
     met = stored(_blocks(one), "met").join(one.select("node", F.col("sketch").alias("data")), "node")
-    open_ = stored(_dealt(met, 200_000).mapInPandas(lambda it: _fed(lambda k, b: _Agreeing(least, k, b), [c.split()[0] for c in UNIT.split(", ")], it), UNIT), "open")
+    open_ = stored(_dealt(met, 50_000).mapInPandas(lambda it: _fed(lambda k, b: _Agreeing(least, k, b), [c.split()[0] for c in UNIT.split(", ")], it), UNIT), "open")
     ids = one.select("doc_id", "node").join(open_.select("node").distinct(), "node", "left_semi")
     whole = open_.join(stored(shingle_sets(docs, ids, n), "sets"), "node")
-    pairs = _dealt(whole, 20_000).mapInPandas(lambda it: _fed(lambda k, b: _Verified(similarity, k, b), ["a", "b"], it), "a long, b long")
+    pairs = _dealt(whole, 5_000).mapInPandas(lambda it: _fed(lambda k, b: _Verified(similarity, k, b), ["a", "b"], it), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

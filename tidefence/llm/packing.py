@@ -97,7 +97,8 @@ def best_fit(items: DataFrame, capacity: int, open_bins: int, pieces_per_partiti
             placed = [bins.place(size) for size in batch["length"].tolist()]
             yield batch.assign(sequence_id=[base + b for b, _ in placed], offset=[o for _, o in placed]).astype({"sequence_id": "int64", "offset": "int64"})
 
-    spread = items.repartition(parts, "doc_id", "piece").sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
+    # by the checksum too, so that rows that repeat an id, or have none, are spread
+    spread = items.repartition(parts, "doc_id", "piece", "ids_crc32").sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
     return spread.mapInPandas(pack, f"{PIECES}, sequence_id long, offset long")
 
 
