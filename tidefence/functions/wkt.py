@@ -67,13 +67,23 @@ def register(spark: SparkSession) -> None:
     pairs = "transform(split(regexp_replace(regexp_replace({0}, '^\\\\s*<[^>]*>', ''), '(?i)[a-z()]+', ' '), ','), p -> named_struct('x', cast(split(trim(p), '\\\\s+')[0] as double), 'y', cast(split(trim(p), '\\\\s+')[1] as double)))"
     spark.sql(f"create or replace temporary function wkt_corners(w string) returns array<struct<x:double,y:double>> return {pairs.format('w')}")
     spark.sql(f"create or replace temporary function corner_edges(c array<struct<x:double,y:double>>) returns {G.EDGE_TYPE} return {edges}")
+    spark.sql(f"create or replace temporary function wkt_crs(w string) returns string return coalesce(nullif(regexp_extract(w, '^\\\\s*<([^>]*)>', 1), ''), '{CRS84}')")
     box = "px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and py between least(e.y1, e.y2) and greatest(e.y1, e.y2)"
-    on = f"exists(es, e -> {box} and (e.x2 - e.x1) * (py - e.y1) = (e.y2 - e.y1) * (px - e.x1))"
+    left, right = "(e.x2 - e.x1) * (py - e.y1)", "(e.y2 - e.y1) * (px - e.x1)"
+    clear = f"abs({left} - {right}) > (abs({left}) + abs({right})) * {G.DOUBT!r}"
+    # decimals of 38 digits hold every sum and product of ordinates of up to 9 whole and 9 decimal places; others go by the sign of the doubles
+    exact = lambda v: f"cast({v} as decimal(18,9))"
+    whole = " and ".join(f"try_cast({v} as decimal(18,9)) = {v}" for v in ("px", "py", "e.x1", "e.y1", "e.x2", "e.y2"))
+    product = lambda a, b, c, d: f"({exact(a)} - {exact(b)}) * ({exact(c)} - {exact(d)})"
+    equal = f"{product('e.x2', 'e.x1', 'py', 'e.y1')} = {product('e.y2', 'e.y1', 'px', 'e.x1')}"
+    on = f"exists(es, e -> {box} and (e.x1 = e.x2 or e.y1 = e.y2 or (case when {clear} then false when {whole} then {equal} else {left} = {right} end)))"
     odd = "aggregate(es, false, (a, e) -> a != ((e.y1 > py) != (e.y2 > py) and px < coalesce(try_divide((e.x2 - e.x1) * (py - e.y1), e.y2 - e.y1), 0) + e.x1))"
     arguments = f"px double, py double, es {G.EDGE_TYPE}"
     spark.sql(f"create or replace temporary function on_edges({arguments}) returns boolean return {on}")
     spark.sql(f"create or replace temporary function covered_by({arguments}) returns boolean return ({on}) or ({odd})")
     spark.sql(f"create or replace temporary function strictly_within({arguments}) returns boolean return not ({on}) and ({odd})")
     for name, inner in (("sf_within", "strictly_within"), ("sf_intersects", "covered_by"), ("sf_touches", "on_edges")):
-        spark.sql(f"create or replace temporary function {name}(a string, b string) returns boolean return {inner}(wkt_corners(a)[0].x, wkt_corners(a)[0].y, corner_edges(wkt_corners(b)))")
+        held = f"{inner}(wkt_corners(a)[0].x, wkt_corners(a)[0].y, corner_edges(wkt_corners(b)))"
+        wrong = "cast(raise_error('geometries in different reference systems') as boolean)"
+        spark.sql(f"create or replace temporary function {name}(a string, b string) returns boolean return case when wkt_crs(a) = wkt_crs(b) then {held} else {wrong} end")
     spark.sql("create or replace temporary function sf_disjoint(a string, b string) returns boolean return not sf_intersects(a, b)")

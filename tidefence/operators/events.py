@@ -15,28 +15,42 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from .regions import Region
 
-#: Regions a mask can hold, and edges up to which expressions are unrolled.
+#: Regions a mask word can hold, and edges up to which expressions are unrolled.
 MASK_REGIONS, UNROLLED_EDGES = 60, 400
-#: Bytes up to which a region table is broadcast; beyond, cells of a grid are joined by equality.
-BROADCAST_BYTES = 32 << 20
 
 
 def _same_crs(moves: DataFrame, crs: str) -> Column:
     return F.col("crs") == crs if "crs" in moves.columns else F.lit(True)
 
 
+def words_of(bits: list[Column]) -> Column:
+    """A long with bit i set where bits[i] holds; beyond MASK_REGIONS bits an array of such words."""
+    zero = F.lit(0).cast("long")
+    word = lambda part: reduce(lambda a, b: a.bitwiseOR(b), [F.when(b, F.lit(1 << i).cast("long")).otherwise(zero) for i, b in enumerate(part)], zero)
+    words = [word(bits[at : at + MASK_REGIONS]) for at in range(0, max(1, len(bits)), MASK_REGIONS)]
+    return words[0] if len(words) == 1 else F.array(*words)
+
+
+def bit_of(mask: Column, i: int, n: int) -> Column:
+    """Whether bit i of a mask of n regions is set."""
+    word = mask if n <= MASK_REGIONS else F.get(mask, F.lit(i // MASK_REGIONS))
+    return word.bitwiseAND(F.lit(1 << i % MASK_REGIONS).cast("long")) != 0
+
+
+def whole_mask(mask: object) -> int:
+    """One integer of a mask as Python gets it."""
+    return int(mask) if not hasattr(mask, "__len__") else sum(int(w) << MASK_REGIONS * k for k, w in enumerate(mask))
+
+
 def mask_of(moves: DataFrame, regions: list[Region]) -> Column:
     """Bit i is set if regions[i] covers the point; regions in another reference system stay unset."""
-    if len(regions) > MASK_REGIONS:
-        raise ValueError(f"at most {MASK_REGIONS} regions fit a mask; use membership_join")
     x, y = F.col("x"), F.col("y")
     unrolled = sum(len(r.shell) for r in regions) <= UNROLLED_EDGES
 
     def covers(r: Region) -> Column:
         return G.ring_covers(x, y, r.shell) if unrolled else G.covered_by(x, y, G.edges_literal(r.shell))
 
-    bits = [F.when(_same_crs(moves, r.crs) & covers(r), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(regions)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
+    return words_of([_same_crs(moves, r.crs) & covers(r) for r in regions])
 
 
 def membership(moves: DataFrame, regions: list[Region]) -> DataFrame:
@@ -52,24 +66,30 @@ def membership(moves: DataFrame, regions: list[Region]) -> DataFrame:
     return out.withColumn("strict", ~F.col("on_boundary") & F.col("odd")).withColumn("covered", F.col("on_boundary") | F.col("odd")).drop("odd")
 
 
-def membership_join(points: DataFrame, regions: DataFrame, cell: float | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def membership_join(points: DataFrame, regions: DataFrame, unrolled_edges: int = UNROLLED_EDGES) -> DataFrame:
     """Pairs of points(x, y, ...) and regions(name, rank, crs, edges, boxes) where the region covers the point.
 
-    The region table is measured. Up to broadcast_bytes it is broadcast and filtered by box before the exact test. A larger one is joined by
-    equality on cells of a grid, each region standing in every cell of its box, so neither side is ever broadcast.
+    The region table is measured. With at most unrolled_edges edges it is read and compiled into the scan of the points. A larger one is joined by equality on
+    cells of grids, so neither side is ever broadcast or paired with all of the other: a region stands in the grid whose cells are at least as wide
+    as its box, so in four cells at most, and a point in its cell of each width that occurs.
     """
-    r = regions.select(F.col("name").alias("region"), F.col("rank"), F.col("crs").alias("region_crs"), "edges", "min_x", "min_y", "max_x", "max_y")
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))
+    level = F.ceil(F.log2(extent)).cast("int")
+    found = regions.agg(F.sum(F.size("edges")).alias("edges"), F.collect_set(level).alias("levels")).first()  # levels are exponents of doubles: few
+    if (found["edges"] or 0) <= unrolled_edges:
+        known = [Region(r["name"], tuple((p["x1"], p["y1"]) for p in r["edges"]) + ((r["edges"][0]["x1"], r["edges"][0]["y1"]),), r["crs"], r["rank"]) for r in regions.collect()]
+        if not known:
+            return points.withColumns({"region": F.lit(None).cast("string"), "rank": F.lit(None).cast("int")}).filter(F.lit(False))
+        covered = membership(points, known).filter("covered")
+        return covered.select(*[F.col(f"`{c}`") for c in points.columns], "region", "rank")
+    r = regions.select(F.col("name").alias("region"), "rank", F.col("crs").alias("region_crs"), "edges", "min_x", "min_y", "max_x", "max_y", level.alias("level"))
     box = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
     same = F.col("crs") == F.col("region_crs") if "crs" in points.columns else F.lit(True)
-    size = r.agg(F.sum(F.size("edges") * 32 + 200).alias("b"), F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))).alias("w")).first()
-    if (size["b"] or 0) <= broadcast_bytes:
-        pairs = points.join(F.broadcast(r), box & same)
-    else:
-        width = cell or max(size["w"] or 1.0, 1e-9)
-        grid = lambda c: F.floor(F.col(c) / width).cast("long")
-        r = r.withColumn("cx", F.explode(F.sequence(grid("min_x"), grid("max_x")))).withColumn("cy", F.explode(F.sequence(grid("min_y"), grid("max_y"))))
-        pairs = points.withColumn("cx", grid("x")).withColumn("cy", grid("y")).join(r, ["cx", "cy"]).filter(box & same).drop("cx", "cy")
-    return pairs.filter(G.covered_by(F.col("x"), F.col("y"), F.col("edges"))).drop("edges", "min_x", "min_y", "max_x", "max_y", "region_crs")
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    r = r.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+    p = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(found["levels"])])))
+    pairs = p.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(r, ["level", "cx", "cy"]).filter(box & same)
+    return pairs.filter(G.covered_by(F.col("x"), F.col("y"), F.col("edges"))).drop("level", "cx", "cy", "edges", "min_x", "min_y", "max_x", "max_y", "region_crs")
 
 
 def _by_subject(*order: str) -> Window:
@@ -101,11 +121,15 @@ def with_steps(moves: DataFrame, regions: list[Region], bucket: str | None = Non
 
 def crossings(moves: DataFrame, regions: list[Region], bucket: str | None = None) -> DataFrame:
     """subject, seq, ts, step, region, rank, kind for every change of membership between a subject's consecutive moves."""
-    changed = with_steps(moves, regions, bucket).filter("prev_mask is not null and mask <> prev_mask")
+    return crossings_of_steps(with_steps(moves, regions, bucket), regions)
+
+
+def crossings_of_steps(steps: DataFrame, regions: list[Region]) -> DataFrame:
+    """The same from what with_steps gives."""
+    changed = steps.filter("prev_mask is not null and mask <> prev_mask")
     rows = []
     for i, r in enumerate(regions):
-        bit = F.lit(1 << i).cast("long")
-        was, now = F.col("prev_mask").bitwiseAND(bit) != 0, F.col("mask").bitwiseAND(bit) != 0
+        was, now = bit_of(F.col("prev_mask"), i, len(regions)), bit_of(F.col("mask"), i, len(regions))
         kind = F.when(~was & now, "enters").when(was & ~now, "leaves")
         rows.append(F.struct(F.lit(r.name).alias("region"), F.lit(r.rank).alias("rank"), kind.alias("kind")))
     out = changed.select("subject", "seq", "ts", "step", F.inline(F.array(*rows)))
@@ -160,7 +184,12 @@ def sustained(moves: DataFrame, regions: list[Region], durations: dict[str, int]
 
     subject, region, rank, kind, duration, started_at, effective_at, emitted_at, seq, step (of the crossing).
     """
-    c = crossings(moves, regions).withColumn("next_ts", F.lead("ts").over(Window.partitionBy("subject", "region").orderBy("ts", "seq")))
+    return sustained_of_crossings(crossings(moves, regions), moves, durations, clock, kinds)
+
+
+def sustained_of_crossings(crossed: DataFrame, moves: DataFrame, durations: dict[str, int], clock: str = "subject", kinds: tuple[str, ...] = ("enters", "leaves")) -> DataFrame:
+    """The same from crossings(subject, seq, ts, region, kind, ...), however they were found; moves are the ticks."""
+    c = crossed.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("subject", "region").orderBy("ts", "seq")))
     c = c.filter(F.col("kind").isin(*kinds))
     specs = F.array(*[F.struct(F.lit(n).alias("duration"), F.lit(us).cast("long").alias("us"), F.lit(k).alias("spec_rank")) for k, (n, us) in enumerate(durations.items())])
     c = c.select("*", F.inline(specs)).withColumnRenamed("ts", "started_at")

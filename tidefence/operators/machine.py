@@ -1,7 +1,7 @@
 """Guarded rules and duration monitors: a fold over each subject's moves.
 
 A rule names only its own subject's events, guard and target, so subjects are folded independently. Moves are
-partitioned by subject, sorted by (ts, seq) and streamed through ``mapInPandas``: memory is one batch and one subject's
+partitioned by subject, sorted by arrival (seq) and streamed through ``mapInPandas``: memory is one batch and one subject's
 state however long its history, and no per-subject call is paid. Memberships come in as bit masks made in the JVM.
 
 At time t: due timers fire first in the order (deadline, spec rank); then crossings are found; then, crossing by crossing, monitors
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ModelError
-from .events import mask_of
+from .events import mask_of, whole_mask, words_of
 from .regions import Region
 
 KINDS = ("enters", "leaves")
@@ -71,6 +71,7 @@ class Spec:
 class Semantics:
     """The engine's switches; the defaults are the contract, other values are for comparison."""
 
+    # The switches and defaults that the published comparison of semantics names.
     timers_first: bool = True
     cancel_opposite: bool = True
     guard_start: bool = True
@@ -208,13 +209,16 @@ def to_frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in whole})
 
 
-def run(moves: DataFrame, regions: list[Region], program: Program, *, initial_state: str | None = None, states: DataFrame | None = None, positions: DataFrame | None = None, horizon_us: int | None = None, declared: DataFrame | None = None, on_error: str = "reject") -> DataFrame:
+def run(moves: DataFrame, regions: list[Region], program: Program, *, initial_state: str | None = None, states: DataFrame | None = None, positions: DataFrame | None = None, horizon_us: int | None = None, declared: DataFrame | None = None, on_error: str = "reject", order: str = "arrival") -> DataFrame:
     """The trace of all subjects as rows of TRACE, with rows ``final`` for states and pending monitors.
 
     moves(subject, seq, ts, x, y[, crs]); states(subject, state) overrides initial_state; positions(subject, x, y[, crs]) are
     asserted before the first move; declared(subject) is the set of known subjects; horizon_us is a last tick for all.
-    on_error ``reject`` writes rejected moves as rows and goes on, ``fail`` raises.
+    on_error ``reject`` writes rejected moves as rows and goes on, ``fail`` raises. Moves arrive in the order of seq, so one that goes back in time
+    is late; with order ``time`` they are sorted by (ts, seq) first and none is.
     """
+    if order not in ("arrival", "time"):
+        raise ValueError("order is arrival or time")
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error is reject or fail")
     names = tuple(r.name for r in regions)
@@ -226,23 +230,20 @@ def run(moves: DataFrame, regions: list[Region], program: Program, *, initial_st
 
     def known(df: DataFrame):
         if "crs" not in df.columns:
-            return F.lit(-1).cast("long")
-        bits = [F.when(F.col("crs") == r.crs, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(regions)]
-        out = F.lit(0).cast("long")
-        for b in bits:
-            out = out.bitwiseOR(b)
-        return out
+            return words_of([F.lit(True)] * len(regions))
+        return words_of([F.col("crs") == r.crs for r in regions])
 
     rows = moves.select("subject", F.lit(1).alias("what"), us.alias("us"), F.col("seq").cast("long").alias("seq"), mask_of(moves, regions).alias("mask"), known(moves).alias("known"), crs.alias("crs"), F.lit(None).cast("string").alias("state"))
     first = F.lit(-(2**62)).cast("long")
     none = F.lit(None).cast("long")
+    no_mask = F.lit(None).cast(rows.schema["mask"].dataType)
     if positions is not None:
         c = F.col("crs") if "crs" in positions.columns else F.lit(None).cast("string")
         rows = rows.unionByName(positions.select("subject", F.lit(0).alias("what"), first.alias("us"), none.alias("seq"), mask_of(positions, regions).alias("mask"), known(positions).alias("known"), c.alias("crs"), F.lit(None).cast("string").alias("state")))
     if states is not None:
-        rows = rows.unionByName(states.select("subject", F.lit(-1).alias("what"), first.alias("us"), none.alias("seq"), none.alias("mask"), none.alias("known"), F.lit(None).cast("string").alias("crs"), "state"))
+        rows = rows.unionByName(states.select("subject", F.lit(-1).alias("what"), first.alias("us"), none.alias("seq"), no_mask.alias("mask"), no_mask.alias("known"), F.lit(None).cast("string").alias("crs"), "state"))
     if declared is not None:
-        marked = declared.select("subject").distinct().select("subject", F.lit(-2).alias("what"), first.alias("us"), none.alias("seq"), none.alias("mask"), none.alias("known"), F.lit(None).cast("string").alias("crs"), F.lit(None).cast("string").alias("state"))
+        marked = declared.select("subject").distinct().select("subject", F.lit(-2).alias("what"), first.alias("us"), none.alias("seq"), no_mask.alias("mask"), no_mask.alias("known"), F.lit(None).cast("string").alias("crs"), F.lit(None).cast("string").alias("state"))
         rows = rows.unionByName(marked)
     check = declared is not None
 
@@ -267,11 +268,11 @@ def run(moves: DataFrame, regions: list[Region], program: Program, *, initial_st
                 elif what == -1:
                     current.state = state
                 elif what == 0:
-                    current.mask, current.crs = int(mask), system
+                    current.mask, current.crs = whole_mask(mask), system
                 elif check and not allowed:
                     out.append((subject, None, int(seq), ("reject", 9, 0, 0, "unknown_subject", None, None, None, now, now, None, None)))
                 else:
-                    got = current.move(int(now), int(mask), int(bits), system)
+                    got = current.move(int(now), whole_mask(mask), whole_mask(bits), system)
                     out += [(subject, current.step, int(seq), r) for r in got]
             if on_error == "fail":
                 for r in out:
@@ -282,8 +283,5 @@ def run(moves: DataFrame, regions: list[Region], program: Program, *, initial_st
         if current is not None and (allowed or not check):
             yield to_frame(closing(current))
 
-    n = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # input order within a subject is seq, so late moves meet the clock; where seq only breaks ties, sort moves by (ts, seq) first
-    order = ["subject", "what", "seq"] if on_error == "fail" or "arrival" in moves.columns else ["subject", "what", "us", "seq"]
-    spread = rows.repartition(n, "subject").sortWithinPartitions(*order)
-    return spread.mapInPandas(fold, TRACE.format(key=key))
+    sort = ["subject", "what", "seq"] if order == "arrival" else ["subject", "what", "us", "seq"]
+    return rows.repartition("subject").sortWithinPartitions(*sort).mapInPandas(fold, TRACE.format(key=key))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import bit_of, crossings_of_steps, sustained_of_crossings, with_steps
+from .regions import Region
+
 
 def nearest_rank(column: str, p: float) -> Column:
     """The smallest value that at least a share p of all values do not exceed; null without values."""
@@ -15,22 +18,47 @@ def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def zone_breakdown(members: DataFrame, crossed: DataFrame, held: DataFrame) -> DataFrame:
-    """Per region: pairs (moves after a subject's first), inside, outside, distinct subjects, events, moves without one, enters, leaves, sustained."""
-    first = Window.partitionBy("subject", "region").orderBy("ts", "seq")
-    pairs = members.withColumn("n", F.row_number().over(first)).filter("n > 1").groupBy("region")
-    a = pairs.agg(F.count("*").alias("pairs"), F.count_if("covered").alias("inside"), F.count_if(~F.col("covered")).alias("outside"), F.countDistinct("subject").alias("subjects"))
+def zone_breakdown(moves: DataFrame, regions: list[Region], durations: dict[str, int]) -> DataFrame:
+    """Per region: pairs (moves after a subject's first), inside, outside, distinct subjects, events, moves without one, enters, leaves, sustained.
+
+    All come from one table of moves with masks: a row per subject counts memberships, and crossings and sustained events are taken from it.
+    """
+    steps, n = with_steps(moves, regions), len(regions)
+    after = steps.filter("step > 0")
+    # a row for each subject first, so subjects are counted without a distinct
+    per = after.groupBy("subject").agg(F.count("*").alias("pairs"), *[F.count_if(bit_of(F.col("mask"), i, n)).alias(f"in{i}") for i in range(n)])
+    rows = [F.struct(F.lit(r.name).alias("region"), F.col(f"in{i}").alias("inside")) for i, r in enumerate(regions)]
+    a = per.select("pairs", F.inline(F.array(*rows))).groupBy("region").agg(F.sum("pairs").alias("pairs"), F.sum("inside").alias("inside"), F.count("*").alias("subjects"))
+    crossed = crossings_of_steps(steps, regions)
     b = crossed.groupBy("region").agg(F.count_if(F.col("kind") == "enters").alias("enters"), F.count_if(F.col("kind") == "leaves").alias("leaves"))
-    c = held.groupBy("region").agg(F.count("*").alias("sustained"))
-    out = a.join(b, "region", "left").join(c, "region", "left").na.fill(0, ["enters", "leaves", "sustained"])
-    return out.withColumn("events", F.col("enters") + F.col("leaves")).withColumn("quiet", F.col("pairs") - F.col("events"))
+    c = sustained_of_crossings(crossed, moves, durations).groupBy("region").agg(F.count("*").alias("sustained"))
+    out = a.join(b, "region", "left").join(c, "region", "left").na.fill(0, ["enters", "leaves", "sustained"]).withColumn("outside", F.col("pairs") - F.col("inside"))
+    out = out.withColumn("events", F.col("enters") + F.col("leaves")).withColumn("quiet", F.col("pairs") - F.col("events"))
+    return out.select("region", "pairs", "inside", "outside", "subjects", "enters", "leaves", "sustained", "events", "quiet")
 
 
-def lag_summary(held: DataFrame) -> DataFrame:
-    """Seconds from deadline to emission: how many events, how many on time, median, nearest-rank p95, maximum; zeros without events."""
+def lag_summary(held: DataFrame, coarse_us: int = 60_000_000) -> DataFrame:
+    """Seconds from deadline to emission: how many events, how many on time, median, nearest-rank p95, maximum; zeros without events.
+
+    Percentiles come from a histogram of lags: ranks by a running sum over coarse steps (few rows) and another inside each step, so no task holds all lags.
+    """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    lag = held.select(((us("emitted_at") - us("effective_at")) / 1e6).alias("lag"))
-    out = lag.agg(F.count("*").alias("events"), F.count_if(F.col("lag") == 0).alias("on_time"), F.percentile("lag", 0.5).alias("median_s"), nearest_rank("lag", 0.95).alias("p95_s"), F.max("lag").alias("max_s"))
+    lags = held.groupBy((us("emitted_at") - us("effective_at")).alias("us")).agg(F.count("*").alias("n")).withColumn("step", F.floor(F.col("us") / coarse_us))
+    steps = lags.groupBy("step").agg(F.sum("n").alias("n"))
+    below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("step", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
+    total = lags.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("step").orderBy("us"))
+    ranked = lags.withColumn("inside", inside).join(steps, "step").withColumn("upto", F.col("before") + F.col("inside")).join(F.broadcast(total))  # one row
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("us"))) / 1e6
+    middle = (F.col("total") + 1) / 2
+    out = ranked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("events"),
+        F.coalesce(F.sum(F.when(F.col("us") == 0, F.col("n"))), F.lit(0)).alias("on_time"),
+        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("median_s"),
+        at(F.ceil(F.col("total") * 0.95)).alias("p95_s"),
+        (F.max("us") / 1e6).alias("max_s"),
+    )
     return out.na.fill(0.0)
 
 

@@ -60,7 +60,7 @@ def violations(constraints: DataFrame, positions: DataFrame, states: DataFrame,
         .when(F.col("has_region").isNull(), F.concat(F.lit("no region "), "region"))
         .when(~holds, F.concat_ws(" ", F.lit("not"), "predicate", "region"))
     )
-    return j.withColumn("message", message).filter("message is not null").select("name", "rank", "subject", "region", "message")
+    return j.withColumn("message", message).filter("message is not null").select("name", "rank", "subject", "region", "message").orderBy("rank", "subject")
 
 
 def answers(questions: DataFrame, positions: DataFrame, states: DataFrame, regions: DataFrame, values: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ModelError
 from ..functions import text as T
+from ..streaming.sinks import stored
 
 BASE = "https://example.org/tidefence/resource"
 VOCABULARY = "https://example.org/tidefence/vocab#"
@@ -216,15 +217,14 @@ def count_shape(triples: DataFrame, target_class: str, path: str, *, low: int =
 PREFIX_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
-def subclass_closure(triples: DataFrame, rounds: int = 16) -> DataFrame:
-    """(s, class): types with all superclasses, by repeated joins until nothing is new."""
-    up = triples.filter(F.col("p") == "http://www.w3.org/2000/01/rdf-schema#subClassOf").select(F.col("s").alias("class"), F.col("o").alias("above"))
-    have = triples.filter(F.col("p") == PREFIX_TYPE).select("s", F.col("o").alias("class")).distinct()
-    n = have.count()
-    for _ in range(rounds):
-        have = have.union(have.join(up, "class").select("s", F.col("above").alias("class"))).distinct().checkpoint() if have.sparkSession.sparkContext.getCheckpointDir() else have.union(have.join(up, "class").select("s", F.col("above").alias("class"))).distinct()
-        m = have.count()
-        if m == n:
-            break
-        n = m
-    return have
+def subclass_closure(triples: DataFrame) -> DataFrame:
+    """(s, class): types with all superclasses. Each round joins only what the last one found; rounds are stored, and end when nothing is new, so
+    chains of any length and cycles are followed to their end."""
+    up = stored(triples.filter(F.col("p") == "http://www.w3.org/2000/01/rdf-schema#subClassOf").select(F.col("s").alias("class"), F.col("o").alias("above")).distinct(), "subclasses")
+    have = new = stored(triples.filter(F.col("p") == PREFIX_TYPE).select("s", F.col("o").alias("class")).distinct(), "types")
+    while True:
+        found = new.join(up, "class").select("s", F.col("above").alias("class")).distinct()
+        new = stored(found.join(have, ["s", "class"], "left_anti"), "types")
+        if not new.head(1):
+            return have
+        have = stored(have.union(new), "closure")

@@ -118,14 +118,14 @@ def on_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MEMBERS} SELECT subject, seq, region FROM members WHERE covered")
 def membership_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through a region table of measured size, broadcast with a box filter."""
+    """Through a region table of measured size, small enough to be compiled into the scan."""
     return E.membership_join(moves(spark, sf_dir), region_table(spark, ZONES)).select("subject", "seq", "region")
 
 
 @query(f"WITH {_MEMBERS} SELECT subject, seq, region FROM members WHERE covered")
 def membership_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the grid join that large region tables take."""
-    return E.membership_join(moves(spark, sf_dir), region_table(spark, ZONES), cell=100.0, broadcast_bytes=0).select("subject", "seq", "region")
+    return E.membership_join(moves(spark, sf_dir), region_table(spark, ZONES), unrolled_edges=0).select("subject", "seq", "region")
 
 
 @query(
@@ -236,8 +236,7 @@ SELECT region, pairs, inside, outside, subjects, coalesce(enters, 0) AS enters,
   coalesce(enters, 0) + coalesce(leaves, 0) AS events, pairs - coalesce(enters, 0) - coalesce(leaves, 0) AS quiet FROM a LEFT JOIN b USING (region) LEFT JOIN c USING (region)"""
 )
 def zone_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = moves(spark, sf_dir)
-    return stats.zone_breakdown(E.membership(m, ZONES), E.crossings(m, ZONES), E.sustained(m, ZONES, DURATIONS))
+    return stats.zone_breakdown(moves(spark, sf_dir), ZONES, DURATIONS)
 
 
 @query(
@@ -395,7 +394,7 @@ here AS (SELECT m.subject, m.region, m.covered, m.strict FROM members m JOIN las
 c AS (
   SELECT 'keep-low' AS name, 0 AS rank, subject, 'BandLow' AS region, 'inside' AS predicate, strict AS ok FROM here WHERE region = 'BandLow' AND subject % 2 = 0
   UNION ALL SELECT 'keep-mid', 1, subject, 'BandMid', 'coveredBy', covered FROM here WHERE region = 'BandMid'
-  UNION ALL SELECT 'nowhere', 2, subject, 'Missing', 'inside', NULL FROM here WHERE region = 'Tri' AND subject % 50 = 0
+  UNION ALL SELECT 'nowhere', 2, subject, 'Missing', 'inside', NULL FROM here WHERE region = 'Tri'
 )
 SELECT name, rank, subject, region, CASE WHEN region = 'Missing' THEN 'no region Missing' ELSE 'not ' || predicate || ' ' || region END AS message FROM c WHERE ok IS NOT TRUE"""
 )
@@ -405,7 +404,7 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = positions.select("subject")
     states = s.withColumn("state", F.when(F.col("subject") % 2 == 0, "Safe").otherwise("Busy"))
     rule = lambda name, rank, region, predicate, guard, rows: rows.select(F.lit(name).alias("name"), F.lit(rank).alias("rank"), "subject", F.lit(region).alias("region"), F.lit(predicate).alias("predicate"), F.lit(guard).cast("string").alias("while_state"))
-    constraints = rule("keep-low", 0, "BandLow", "inside", "Safe", s).unionByName(rule("keep-mid", 1, "BandMid", "coveredBy", None, s)).unionByName(rule("nowhere", 2, "Missing", "inside", None, s.filter("subject % 50 = 0")))
+    constraints = rule("keep-low", 0, "BandLow", "inside", "Safe", s).unionByName(rule("keep-mid", 1, "BandMid", "coveredBy", None, s)).unionByName(rule("nowhere", 2, "Missing", "inside", None, s))
     return world.violations(constraints, positions, states, region_table(spark, ZONES))
 
 
@@ -522,12 +521,12 @@ def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'manual' ELSE 'pass' END AS status FROM events WHERE event_id % 3 = 0)
+    """WITH p AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'manual' ELSE 'pass' END AS status FROM events)
 SELECT user_id, count(*) AS probes, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_and(status = 'pass') THEN 'pass' ELSE 'manual' END AS status FROM p GROUP BY user_id"""
 )
 def probe_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    p = events(spark, sf_dir).filter("event_id % 3 = 0").select("user_id", F.when(kind == "error", "fail").when(kind == "click", "manual").otherwise("pass").alias("status"))
+    p = events(spark, sf_dir).select("user_id", F.when(kind == "error", "fail").when(kind == "click", "manual").otherwise("pass").alias("status"))
     return stats.roll_up(p, "user_id")
 
 
@@ -585,9 +584,10 @@ def wkt_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import wkt as W
 
     text = T.point_wkt(F.col("x"), F.col("y"), F.lit(CRS))
-    m = moves(spark, sf_dir).withColumn("p", F.get(W.coordinates(text), F.lit(0)))
+    m = moves(spark, sf_dir).withColumn("text", text).withColumn("p", F.get(W.coordinates("text"), F.lit(0)))
     # five rows of fixed size
-    zones = region_table(spark, ZONES).select(F.col("name").alias("region"), W.edges_of(T.polygon_wkt(F.col("shell"), F.col("crs"))).alias("e"))
+    zones = region_table(spark, ZONES).select(F.col("name").alias("region"), T.polygon_wkt(F.col("shell"), F.col("crs")).alias("text"))
+    zones = zones.select("region", W.edges_of("text").alias("e"))
     x, y, e = F.col("p.x"), F.col("p.y"), F.col("e")
     pairs = m.crossJoin(F.broadcast(zones))
     return pairs.select("subject", "seq", "region", G.within(x, y, e).alias("within"), G.covered_by(x, y, e).alias("intersects"), G.on_boundary(x, y, e).alias("touches"))

@@ -224,5 +224,6 @@ def content_hash(spark: SparkSession, path: str, *, normalise_line_ends: bool =
     """path, sha256 of files."""
     body = F.col("content")
     if normalise_line_ends:
-        body = F.replace(F.col("content").cast("string"), F.lit("\r\n"), F.lit("\n"))
+        # on hexadecimal digits, so bytes that are no UTF-8 stay; a pair begins at an even place only
+        body = F.unhex(F.regexp_replace(F.hex("content"), r"\G((?:(?!0D0A)..)*+)0D0A", "$10A"))
     return spark.read.format("binaryFile").load(path).select("path", F.sha2(body.cast("binary"), 256).alias("sha256"))

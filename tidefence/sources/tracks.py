@@ -67,6 +67,14 @@ def clean(classified: DataFrame, max_tracks: int | None = None) -> DataFrame:
     return out.withColumn("sample_index", F.row_number().over(Window.partitionBy("sid").orderBy("ts", "lon", "lat")) - 1)
 
 
+def extent(tracks: DataFrame) -> DataFrame:
+    """One row: first and last season, distinct tracks, the basins in order, first and last time, samples."""
+    return tracks.agg(
+        F.min("season").alias("first_season"), F.max("season").alias("last_season"), F.countDistinct("sid").alias("tracks"), F.sort_array(F.collect_set("basin")).alias("basins"),
+        F.min("ts").alias("first_time"), F.max("ts").alias("last_time"), F.count("*").alias("samples"),
+    )
+
+
 def as_moves(tracks: DataFrame, crs: str) -> DataFrame:
     """Tracks of at least two samples as moves; x is the longitude."""
     n = F.count("*").over(Window.partitionBy("sid"))

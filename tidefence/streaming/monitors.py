@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import mask_of
+from ..operators.events import mask_of, whole_mask
 from ..operators.machine import TRACE, Fold, Program, to_frame
 from ..operators.regions import Region
 
@@ -35,9 +35,9 @@ def monitor(moves: DataFrame, regions: list[Region], program: Program, *, initia
             if fold.clock is None or now >= fold.clock:
                 out = [(k[0], fold.step, None, r) for r in fold.advance(now)]
         else:
-            batch = pd.concat(list(batches), ignore_index=True).sort_values(["us", "seq"], kind="stable")
+            batch = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
             for us, seq, mask in zip(batch["us"].tolist(), batch["seq"].tolist(), batch["mask"].tolist(), strict=True):
-                got = fold.move(us, mask)
+                got = fold.move(us, whole_mask(mask))
                 out += [(k[0], fold.step, seq, r) for r in got]
         state.update((pickle.dumps(fold),))
         if watermark and fold.pending:
