@@ -235,9 +235,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, margin: float = 1.25, slack_bits: float = 64.0, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, margin: float = 1.75, slack_bits: float = 64.0, **options) -> DataFrame:
     """The rows of docs that are of a learned language; all columns stay. Texts without a letter go, and those that cost more than the limit a byte
-    in every language; the first slack_bits are free, so that a few odd words decide nothing. If no language was learned, all go."""
+    in every language. The margin leaves room for what is dear but of the language: one word over and over, keys and passwords between words. The first
+    slack_bits are free, so that a few odd words decide nothing. If no language was learned, all go."""
     name = fresh(docs, "language_guess")
     model = fit(docs, margin=margin, **options)
     guessed = docs.withColumn(name, predict_column(docs, model).alias(name))
