@@ -25,6 +25,11 @@ def test_numbers_print_as_in_c(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     for digits in (1, 6, 10, 15, 17):
         assert [r[0] for r in df.select(T.short_number(F.col("v"), digits)).collect()] == [f"{v:.{digits}g}" for v in values] + [None]
+    # in the JVM alone, for sizes of coordinates
+    plain = [v for v in values if v == 0 or 1e-7 <= abs(v) < 1e9] + [round(v, 13) for v in values if 1 <= abs(v) < 1000]
+    df = spark.createDataFrame([(v,) for v in plain], "v double")
+    for digits in (6, 10, 15):
+        assert [r[0] for r in df.select(T.short_number(F.col("v"), digits, arrow=False)).collect()] == [f"{v:.{digits}g}" for v in plain]
 
 
 @few

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import _product
+
 
 def _exact(digits: int):
     @F.pandas_udf("string")
@@ -15,13 +17,35 @@ def _exact(digits: int):
     return text
 
 
-def short_number(v: Column, digits: int = 15) -> Column:
+def _untied(v: Column, digits: int) -> Column:
+    """v, or its neighbour towards zero where Java would round a tie of its shortest decimal up although the double itself, half to even, goes down.
+
+    The tie is decided by an exact product with a power of ten, for powers up to 22 (at 15 digits: sizes from 1e-7 to 1e15).
+    """
+    size = F.abs(v)
+    sig = F.rtrim(F.regexp_replace(F.regexp_replace(size.cast("string"), "E.*", ""), r"^0\.0*|\.", ""), F.lit("0"))
+    tie = (F.length(sig) == digits + 1) & sig.endswith("5")
+    d = sig.try_cast("long")
+    power = F.lit(digits) - F.substring_index(F.format_string("%.17e", size), "e", -1).try_cast("int")
+    tens = F.array(*[F.lit(float(10**i)) for i in range(23)])
+    p, low = _product(size, F.get(tens, power))
+    high = d.cast("double")
+    rest = ((p - high) - (d - high.cast("long")).cast("double")) + low
+    even = F.floor(d / 10) % 2 == 0
+    down = tie & power.between(0, 22) & ((rest < 0) | ((rest == 0) & even))
+    return F.when(down, v * (1 - 2.0**-52)).otherwise(v)
+
+
+def short_number(v: Column, digits: int = 15, arrow: bool = True) -> Column:
     """A double with so many significant digits and without trailing zeros, as C's %g prints it; nan, inf and -inf.
 
     Plain notation for exponents from -4 up to digits, else mantissa and an exponent of at least two digits. Java rounds the shortest decimal that
     reads back as the same double. That is the double's own rounding unless what follows the last digit is nearly a half; only those rows,
-    subnormal numbers, and numbers of 16 and more digits are printed in Arrow batches, all others in the JVM.
+    subnormal numbers, and numbers of 16 and more digits are printed in Arrow batches, all others in the JVM. Without arrow all are printed in the JVM;
+    ties are then exact for sizes from 1e-7 to 1e15 at 15 digits, and what is smaller or larger may be rounded up at a tie.
     """
+    if not arrow:
+        v = _untied(v, digits)
     size = F.abs(v)
     sci = F.format_string(f"%.{digits - 1}e", v)
     shortest = F.regexp_replace(F.regexp_replace(size.cast("string"), "E.*", ""), r"^0\.0*|\.", "")
@@ -38,11 +62,11 @@ def short_number(v: Column, digits: int = 15) -> Column:
     special = F.when(v == float("inf"), "inf").when(v == -float("inf"), "-inf").when(F.isnan(v), "nan")
     zero = F.when(F.format_string("%.1f", v).startswith("-"), "-0").otherwise("0")
     java = F.when(v == 0, zero).when(small, plain).otherwise(F.concat(mantissa, F.lit("e"), power))
-    return F.when(v.isNull(), None).when(special.isNotNull(), special).when(doubt, _exact(digits)(F.when(doubt, v))).otherwise(java)
+    return F.when(v.isNull(), None).when(special.isNotNull(), special).when(doubt if arrow else F.lit(False), _exact(digits)(F.when(doubt, v)) if arrow else F.lit("")).otherwise(java)
 
 
 def point_wkt(x: Column, y: Column, crs: Column | None = None) -> Column:
-    text = F.concat(F.lit("POINT ("), short_number(x), F.lit(" "), short_number(y), F.lit(")"))
+    text = F.concat(F.lit("POINT ("), short_number(x, arrow=False), F.lit(" "), short_number(y, arrow=False), F.lit(")"))
     return text if crs is None else F.concat(F.lit("<"), crs, F.lit("> "), text)
 
 

@@ -92,7 +92,7 @@ def sosa(observations: DataFrame, base: str = BASE) -> DataFrame:
     number = T.padded(F.col("seq") + 1)
     me = iri(base, "observation", number)
     result = F.concat(me, F.lit("/result"))
-    optional = lambda p, c: F.concat(F.lit(f'st:{p} "'), T.short_number(F.col(c)), F.lit('"^^xsd:decimal'))
+    optional = lambda p, c: F.concat(F.lit(f'st:{p} "'), T.short_number(F.col(c), arrow=False), F.lit('"^^xsd:decimal'))
     text = F.concat(
         block(
             me,
