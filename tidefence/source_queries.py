@@ -284,10 +284,10 @@ def accepted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world.accept(old, world.record(new.filter("false"), new))
 
 
-@query(f"WITH {_MOVES}, d AS (SELECT c_custkey AS subject FROM customer) SELECT subject, seq, 'unknown_subject' AS code FROM moves WHERE subject NOT IN (SELECT subject FROM d) UNION ALL SELECT subject, seq, 'known' FROM moves WHERE subject IN (SELECT subject FROM d)")
+@query(f"WITH {_MOVES}, d AS (SELECT DISTINCT user_id AS subject FROM events WHERE event_type = 'error' AND value > 60) SELECT subject, seq, 'unknown_subject' AS code FROM moves WHERE subject NOT IN (SELECT subject FROM d) UNION ALL SELECT subject, seq, 'known' FROM moves WHERE subject IN (SELECT subject FROM d)")
 def declared_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves of subjects that are no customers are rejects."""
-    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("subject"))
+    """Subjects with a large error are declared; moves of all others are rejects."""
+    known = events(spark, sf_dir).filter("event_type = 'error' and value > 60").select(F.col("user_id").alias("subject"))
     good, bad = world.split_declared(moves(spark, sf_dir), known)
     return bad.select("subject", "seq", "code").unionByName(good.select("subject", "seq", F.lit("known").alias("code")))
 
