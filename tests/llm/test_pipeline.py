@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline as P
-from tidefence.llm.common import WRITTEN
+from tidefence.llm.common import WRITTEN, small_batches
 from tidefence.llm import decontamination as D
 from tidefence.llm import near_duplicates as N
 from tidefence.llm.tokens import default_path, encode
@@ -59,3 +59,15 @@ def test_each_stage_alone(spark, docs, labels, clashing, empty, tmp_path):
     kept = P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
     sets = [set(N.shingle_hashes(r.text, 5).tolist()) for r in kept if r.text]
     assert not any(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+
+
+def test_batches_only_get_smaller(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for has, want in (("64MB", 4 << 20), ("1m", 1 << 20), (str(4 << 20), 4 << 20)):
+            spark.conf.set(name, has)
+            small_batches(spark)
+            assert spark.conf.get(name) == str(want), has
+    finally:
+        spark.conf.set(name, before)

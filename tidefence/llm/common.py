@@ -48,6 +48,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         WRITTEN.remove(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Batches between the JVM and Python hold at most about ``most`` bytes from now on in this session; a smaller limit that it has already stays.
+    Results do not depend on it: a worker's memory does, as it holds a batch several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    has = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    spark.conf.set(name, str(min(most, has)))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet, ignoring case."""
     taken = {c.lower() for c in df.columns}
