@@ -65,7 +65,7 @@ def test_windows_of_a_search_skip_lists(spark):
         inside = scores[:, (listed["cluster"] == c).to_numpy()]
         assert (inside >= low[:, [c]]).all() and (inside <= high[:, [c]]).all()
     skipped = ~H.meets(low, high, np.full((20, 1), H.NONE), np.full((20, 1), 60_000), np.full((20, 1), H.MOST))
-    assert skipped.mean() > 0.5
+    assert skipped.mean() > 0.25
 
 
 def test_numbers_beyond_doubles():

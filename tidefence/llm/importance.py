@@ -38,9 +38,13 @@ def runs(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by a space."""
     if longest == 1:
         return words
-    of_size = lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
     none = F.array().cast("array<string>")
-    return F.concat(words, *(F.when(F.size(words) >= k, of_size(k)).otherwise(none) for k in range(2, longest + 1)))
+
+    def of(w: Column) -> Column:
+        size = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+        return F.concat(w, *(F.when(F.size(w) >= k, size(k)).otherwise(none) for k in range(2, longest + 1)))
+
+    return F.transform(F.array(words), of).getItem(0)  # words are found once, not once for each run
 
 
 def bucket(feature: Column, buckets: int) -> Column:
