@@ -185,3 +185,41 @@ def test_roles_stay_apart(spark):
     assert (good.count(), bad.first().code) == (1, "unknown_subject")
     u = world.upsert(spark.createDataFrame([(1, "x", 1)], "k int, v string, version int"), spark.createDataFrame([(1, "y", 2), (2, "z", 1)], "k int, v string, version int"), "k", "version")
     assert sorted(u.collect()) == [(1, "y", 2), (2, "z", 1)]
+
+
+def test_turtle_in_parts(spark, tmp_path):
+    from tidefence.sources.documents import read_turtle
+    from tidefence.sources.turtle import statements, turtle_triples
+
+    head = "# a comment\n@prefix e: <http://e.test/> .\n"
+    body = [f'e:s{i} a e:T{i % 3} ;\n  e:says "line\\nno {i} . \\"x\\"" , {i} ;\n  e:has [ e:of e:s{i + 1} ] .\n' for i in range(500)]
+    (tmp_path / "a.ttl").write_text(head + "".join(body[:300]))
+    (tmp_path / "b.ttl").write_text(head + "".join(body[300:]) + "\n")
+    (tmp_path / "empty.ttl").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = turtle_triples(spark, str(tmp_path))
+        assert statements(spark, str(tmp_path)).rdd.getNumPartitions() > 6
+        rows = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = read_turtle(head + "".join(body))
+    plain = lambda ts: sorted((("_" if s[0] == "_" else s), p, ("_" if o[:2] == "_:" else o), d) for s, p, o, d in ts)
+    assert plain(rows) == plain(want) and len({s for s, *_ in rows if s[0] == "_"}) == 500
+    # each anonymous node hangs between the same two subjects as in the whole
+    link = lambda ts: sorted((s, next(o2 for s2, p2, o2, _ in ts if s2 == o)) for s, p, o, _ in ts if o[:2] == "_:")
+    assert link(rows) == link(want)
+
+
+def test_turtle_prefixes_and_labels(spark, tmp_path):
+    from tidefence.errors import ModelError
+    from tidefence.sources.turtle import turtle_triples
+
+    (tmp_path / "a.ttl").write_text("@prefix e: <http://e.test/> .\n_:x e:p _:y .\n_:y e:p _:x .\n")
+    (tmp_path / "b.ttl").write_text("_:x e:p e:z .\n")
+    rows = turtle_triples(spark, str(tmp_path)).collect()
+    subjects = {r.s for r in rows if r.o == "http://e.test/z"} | {r.s for r in rows if r.o != "http://e.test/z"}
+    assert len(rows) == 3 and len(subjects) == 3  # x of one file is not x of the other
+    (tmp_path / "c.ttl").write_text("@prefix e: <http://other.test/> .\n")
+    with pytest.raises(ModelError, match="two meanings"):
+        turtle_triples(spark, str(tmp_path))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import _product
+from .geometry import _let, _product
 
 
 def _exact(digits: int):
@@ -17,23 +17,48 @@ def _exact(digits: int):
     return text
 
 
+def _is_tie(v: Column, digits: int) -> Column:
+    """Whether the shortest decimal of v has one digit more than is printed, a five."""
+    sig = F.rtrim(F.regexp_replace(F.regexp_replace(F.abs(v).cast("string"), "E.*", ""), r"^0\.0*|\.", ""), F.lit("0"))
+    return (F.length(sig) == digits + 1) & sig.endswith("5")
+
+
 def _untied(v: Column, digits: int) -> Column:
     """v, or its neighbour towards zero where Java would round a tie of its shortest decimal up although the double itself, half to even, goes down.
 
-    The tie is decided by an exact product with a power of ten, for powers up to 22 (at 15 digits: sizes from 1e-7 to 1e15).
+    The tie is decided by an exact product with a power of ten, for powers up to 22 (at 15 digits: sizes from 1e-7 to 1e15). Each step is bound once.
     """
     size = F.abs(v)
     sig = F.rtrim(F.regexp_replace(F.regexp_replace(size.cast("string"), "E.*", ""), r"^0\.0*|\.", ""), F.lit("0"))
-    tie = (F.length(sig) == digits + 1) & sig.endswith("5")
-    d = sig.try_cast("long")
     power = F.lit(digits) - F.substring_index(F.format_string("%.17e", size), "e", -1).try_cast("int")
     tens = F.array(*[F.lit(float(10**i)) for i in range(23)])
-    p, low = _product(size, F.get(tens, power))
-    high = d.cast("double")
-    rest = ((p - high) - (d - high.cast("long")).cast("double")) + low
-    even = F.floor(d / 10) % 2 == 0
-    down = tie & power.between(0, 22) & ((rest < 0) | ((rest == 0) & even))
-    return F.when(down, v * (1 - 2.0**-52)).otherwise(v)
+    bound = F.struct(sig.try_cast("long").alias("d"), power.alias("power"), F.get(tens, power).alias("ten"))
+
+    def settled(t: Column) -> Column:
+        p, low = _product(size, t["ten"])
+        d, high = t["d"], t["d"].cast("double")
+        rest = ((p - high) - (d - high.cast("long")).cast("double")) + low
+        down = t["power"].between(0, 22) & ((rest < 0) | ((rest == 0) & (F.floor(d / 10) % 2 == 0)))
+        return F.when(down, v * (1 - 2.0**-52)).otherwise(v)
+
+    return _let(bound, settled)
+
+
+def _java_number(v: Column, digits: int) -> Column:
+    """v in C's %g notation with the digits that Java prints; the mantissa is printed once."""
+    strip = lambda s: F.when(F.contains(s, F.lit(".")), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+
+    def shown(sci: Column) -> Column:
+        exponent = F.substring_index(sci, "e", -1).cast("int")
+        # the rounded decimal is exact, so printing it with many places and stripping zeros prints the digits alone
+        plain = strip(sci.try_cast("decimal(38,20)").cast("string"))
+        power = F.concat(F.when(exponent < 0, "-").otherwise("+"), padded(F.abs(exponent), 2))
+        small = (exponent >= -4) & (exponent < digits)
+        return F.when(small, plain).otherwise(F.concat(strip(F.substring_index(sci, "e", 1)), F.lit("e"), power))
+
+    special = F.when(v == float("inf"), "inf").when(v == -float("inf"), "-inf").when(F.isnan(v), "nan")
+    zero = F.when(F.format_string("%.1f", v).startswith("-"), "-0").otherwise("0")
+    return F.when(v.isNull(), None).when(special.isNotNull(), special).when(v == 0, zero).otherwise(_let(F.format_string(f"%.{digits - 1}e", v), shown))
 
 
 def short_number(v: Column, digits: int = 15, arrow: bool = True) -> Column:
@@ -45,24 +70,13 @@ def short_number(v: Column, digits: int = 15, arrow: bool = True) -> Column:
     ties are then exact for sizes from 1e-7 to 1e15 at 15 digits, and what is smaller or larger may be rounded up at a tie.
     """
     if not arrow:
-        v = _untied(v, digits)
+        return F.when(_is_tie(v, digits), _let(_untied(v, digits), lambda u: _java_number(u, digits))).otherwise(_java_number(v, digits))
     size = F.abs(v)
-    sci = F.format_string(f"%.{digits - 1}e", v)
     shortest = F.regexp_replace(F.regexp_replace(size.cast("string"), "E.*", ""), r"^0\.0*|\.", "")
     nearly_half = F.substr(shortest, F.lit(digits + 1), F.lit(1)).isin("3", "4", "5", "6")
     doubt = nearly_half | (size < 2.3e-308) if digits <= 15 else size < float("inf")
     doubt = doubt & (size > 0) & (size < float("inf"))
-    exponent = F.substring_index(sci, "e", -1).cast("int")
-    strip = lambda s: F.when(F.contains(s, F.lit(".")), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
-    # the rounded decimal is exact, so printing it with many places and stripping zeros prints the digits alone
-    plain = strip(sci.try_cast("decimal(38,20)").cast("string"))
-    mantissa = strip(F.substring_index(sci, "e", 1))
-    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), padded(F.abs(exponent), 2))
-    small = (exponent >= -4) & (exponent < digits)
-    special = F.when(v == float("inf"), "inf").when(v == -float("inf"), "-inf").when(F.isnan(v), "nan")
-    zero = F.when(F.format_string("%.1f", v).startswith("-"), "-0").otherwise("0")
-    java = F.when(v == 0, zero).when(small, plain).otherwise(F.concat(mantissa, F.lit("e"), power))
-    return F.when(v.isNull(), None).when(special.isNotNull(), special).when(doubt if arrow else F.lit(False), _exact(digits)(F.when(doubt, v)) if arrow else F.lit("")).otherwise(java)
+    return F.when(doubt, _exact(digits)(F.when(doubt, v))).otherwise(_java_number(v, digits))
 
 
 def point_wkt(x: Column, y: Column, crs: Column | None = None) -> Column:

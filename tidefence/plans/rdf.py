@@ -50,6 +50,12 @@ def block(subject: Column, *predicates: Column) -> Column:
     return F.concat(F.lit("<"), subject, F.lit("> "), F.concat_ws(" ;\n  ", *predicates), F.lit(" .\n"))
 
 
+def check_statements(blocks: DataFrame) -> DataFrame:
+    """Fails on a block that does not end as ``block`` ends it; readers part files there."""
+    ends = F.col("text").isNull() | F.endswith("text", F.lit(" .\n"))
+    return blocks.withColumn("text", F.when(ends, F.col("text")).otherwise(F.raise_error(F.lit("a block has no end of a statement")))).filter("text IS NOT NULL")
+
+
 def _link(predicate: str, target: Column) -> Column:
     return F.concat(F.lit(f"{predicate} <"), target, F.lit(">"))
 

@@ -70,9 +70,11 @@ def _lexemes(text: str) -> Iterator[tuple[str, str, tuple]]:
         at = m.end()
 
 
-def read_turtle(text: str) -> list[tuple[str, str, str, str | None]]:
-    """(s, p, o, datatype): prefixes, lists with ; and , blank node brackets and typed literals."""
-    items, prefixes, out, blanks = list(_lexemes(text)), {}, [], iter(range(10**9))
+def read_turtle(text: str, known: dict[str, str] | None = None, *, scope: str = "", labels: str = "") -> list[tuple[str, str, str, str | None]]:
+    """(s, p, o, datatype): prefixes, lists with ; and , blank node brackets and labels, and typed literals.
+
+    known: prefixes declared elsewhere; scope and labels: what names of anonymous and of labelled nodes begin with, where a graph is read in parts."""
+    items, prefixes, out, blanks = list(_lexemes(text)), dict(known or {}), [], iter(range(10**9))
     i = 0
 
     def unescape(s: str) -> str:
@@ -82,6 +84,8 @@ def read_turtle(text: str) -> list[tuple[str, str, str, str | None]]:
         if name == "a":
             return RDF_TYPE
         prefix, _, local = name.partition(":")
+        if prefix == "_":
+            return f"_:{labels}n{local}"
         if prefix not in prefixes:
             raise ModelError(f"Turtle: unknown prefix {prefix!r}")
         return prefixes[prefix] + local
@@ -106,7 +110,7 @@ def read_turtle(text: str) -> list[tuple[str, str, str, str | None]]:
                 i += 1
             return literal, datatype
         if value == "[":
-            node = f"_:b{next(blanks)}"
+            node = f"_:{scope}b{next(blanks)}"
             predicates(node, "]")
             i += 1
             return node, None
