@@ -100,18 +100,19 @@ def on_boundary(px: Column, py: Column, edges: Column) -> Column:
     return F.exists(edges, lambda e: on_segment(e["x1"], e["y1"], e["x2"], e["y2"], px, py))
 
 
-def _odd(px: Column, py: Column, edges: Column) -> Column:
+def ray_parity(px: Column, py: Column, edges: Column) -> Column:
+    """Whether a ray from a point passes an odd number of edges."""
     return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses_ray(e["x1"], e["y1"], e["x2"], e["y2"], px, py))
 
 
 def within(px: Column, py: Column, edges: Column) -> Column:
     """Inside, boundary left out."""
-    return F.when(on_boundary(px, py, edges), False).otherwise(_odd(px, py, edges))
+    return F.when(on_boundary(px, py, edges), False).otherwise(ray_parity(px, py, edges))
 
 
 def covered_by(px: Column, py: Column, edges: Column) -> Column:
     """Inside or on the boundary."""
-    return F.when(on_boundary(px, py, edges), True).otherwise(_odd(px, py, edges))
+    return F.when(on_boundary(px, py, edges), True).otherwise(ray_parity(px, py, edges))
 
 
 # -- polygons known on the driver ---------------------------------------------------------------------
