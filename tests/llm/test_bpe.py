@@ -39,9 +39,9 @@ def test_ids_are_those_of_the_library(library, least, monkeypatch):
     codec = bpe.Codec(default_path())
     some = texts(least)
     want = [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
-    assert [codec.encode(t) for t in some] == want
+    assert [list(codec.encode(t)) for t in some] == want
     if least == 64:  # candidates of a group are those of a text only if no cut lies in the first 32 bytes
-        assert list(codec.encode_all(some)) == want
+        assert list(map(list, codec.encode_all(some))) == want
     assert [codec.decode(i) for i in want] == [library.decode(i, skip_special_tokens=False) for i in want] == some
 
 
@@ -54,7 +54,7 @@ def test_shared_chunks_are_encoded_once(library):
     once = codec.encoded_chunks
     for o in own:
         text = f"{o}{passage}{o[::-1]}"
-        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
     assert once > 8 and codec.encoded_chunks - once < len(own) * 8  # the passage's own chunks came from the store, all but those at its ends
     copies = codec.encoded_chunks
     codec.encode(f"{own[0]}{passage}{own[0][::-1]}")
@@ -76,7 +76,7 @@ def test_a_small_store_and_long_texts(library, monkeypatch):
     monkeypatch.setattr(bpe, "STORE", 300)
     codec = bpe.Codec(default_path())
     for text in ("a" * 60_000, "word " * 30_000, "中" * 9_000, "ab" * 3_000 + " " * 3_000 + "c"):
-        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert list(codec.encode(text)) == library.encode(text, add_special_tokens=False).ids
     assert codec.held[0] < 10_000
 
 
@@ -85,7 +85,7 @@ def test_other_vocabularies_are_encoded_whole(tmp_path):
     t.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
     t.save(str(tmp_path / "other.json"))
     codec = bpe.Codec(str(tmp_path / "other.json"))
-    assert not codec.sure and codec.encode("ab ba" * 100) == t.encode("ab ba" * 100).ids
+    assert not codec.sure and list(codec.encode("ab ba" * 100)) == t.encode("ab ba" * 100).ids
 
 
 def test_invalid_bytes_decode_as_in_the_library(library):

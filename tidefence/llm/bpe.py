@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +108,7 @@ class Codec:
         self.special = {a["content"]: a["id"] for a in added}
         self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chunks: dict[str, tuple] = {}
-        self.windows: dict[str, list[int]] = {}
+        self.windows: dict[str, array] = {}
         self.held = [0, 0]
         self.encoded_chunks = 0  # chunks that were not in the store
 
@@ -120,10 +122,10 @@ class Codec:
             self._library.no_padding()
         return self._library
 
-    def window(self, text: str) -> list[int]:
+    def window(self, text: str) -> array:
         found = self.windows.get(text)
         if found is None:
-            found = tokens.encode(text, self.path)
+            found = array("i", tokens.encode(text, self.path))
             if self.held[1] > STORE:
                 self.windows, self.held[1] = {}, 0
             if len(text) <= MOST:
@@ -146,16 +148,16 @@ class Codec:
                 if end == start:
                     for m in SURE.finditer(text, start):
                         end = m.start()
-                found = (text[:start], tokens.encode(text[start:end], self.path), text[end:])
+                found = (text[:start], array("i", tokens.encode(text[start:end], self.path)), text[end:])
             if self.held[0] > STORE:
                 self.chunks, self.held[0] = {}, 0
             self.chunks[text] = found
             self.held[0] += len(text) + 64
         return found
 
-    def ordinary(self, data: bytes, found: list[int] | None = None) -> list[int]:
+    def ordinary(self, data: bytes, found: list[int] | None = None) -> array:
         """Ids of a text without special tokens, given as UTF-8."""
-        ids, open_text, at = [], [], 0
+        ids, open_text, at = array("i"), [], 0
         for end in cuts(data, found):
             found = self.chunk(data[at:end].decode("utf-8"))
             at = end
@@ -164,14 +166,15 @@ class Codec:
                 ids += self.window("".join(open_text))
                 ids += found[1]
                 open_text = [found[2]]
-        return ids + self.window("".join(open_text))
+        ids += self.window("".join(open_text))
+        return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> array:
         if not text:
-            return []
+            return array("i")
         if not self.sure:
-            return self.library.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
+            return array("i", self.library.encode(text, add_special_tokens=False).ids)
+        ids = array("i")
         for part in self.parting.split(text) if self.parting else [text]:
             if part in self.special:
                 ids.append(self.special[part])
@@ -179,7 +182,7 @@ class Codec:
                 ids += self.ordinary(part.encode("utf-8"))
         return ids
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[array]:
         """Texts in turn; hashes of short ones are taken together."""
         group, size = [], 0
         for text in texts:
@@ -190,7 +193,7 @@ class Codec:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[str]) -> Iterator[list[int]]:
+    def _group(self, texts: list[str]) -> Iterator[array]:
         plain = [t.encode("utf-8") if self.sure and not any(s in t for s in self.special) else None for t in texts]
         found = candidates(b"".join(p for p in plain if p is not None))
         at = 0
@@ -203,8 +206,8 @@ class Codec:
                 at += len(data)
 
     @property
-    def spelt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes of all ids in a row; where each id's start, and how many they are."""
+    def spelt(self) -> pa.LargeBinaryArray:
+        """The bytes of each id."""
         if not hasattr(self, "_spelt"):
             # the printable form of byte-level vocabularies: bytes that print stand for themselves, the others follow from U+0100 on
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -213,20 +216,18 @@ class Codec:
             spelt = [b""] * (max(vocabulary.values(), default=-1) + 1)
             for token, i in vocabulary.items():
                 spelt[i] = bytes(byte[c] for c in token)
-            sizes = np.array([len(x) for x in spelt], dtype=np.int64)
-            self._spelt = np.frombuffer(b"".join(spelt), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+            self._spelt = pa.array(spelt, type=pa.large_binary())
         return self._spelt
 
-    def decode(self, ids: np.ndarray | list[int]) -> str:
+    def decode(self, ids: np.ndarray | array | list[int]) -> str:
         if not self.sure:
             return self.library.decode(list(map(int, ids)), skip_special_tokens=False)
-        ids, (flat, starts, sizes), out = np.asarray(ids, dtype=np.int64), self.spelt, []
-        for at in range(0, len(ids), 1 << 16):
-            some = ids[at : at + (1 << 16)]
-            n = sizes[some]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[some] - ends + n, n) + np.arange(n.sum())].tobytes())
-        return b"".join(out).decode("utf-8", "replace")
+        if not len(ids):
+            return ""
+        # bytes of the ids one behind another are the data of a column of them
+        taken = pc.take(self.spelt, pa.array(np.asarray(ids, dtype=np.int32)))
+        data = taken.buffers()[2]
+        return bytes(data).decode("utf-8", "replace") if data is not None else ""
 
 
 @lru_cache(maxsize=2)
@@ -241,9 +242,11 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        rows = [np.array(ids, dtype=np.int32) for ids in c.encode_all(t.as_py() for t in texts)]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+        flat, ends = array("i"), array("i", [0])
+        for ids in c.encode_all(t.as_py() for t in texts):
+            flat += ids
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32)))
 
     return docs.withColumn(ids, encoded(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
