@@ -128,3 +128,37 @@ def test_query_rows(spark):
     got = H.main_text(df.withColumn("n_chars", df["text"])).collect()
     assert [(r.text, r.n_chars) for r in got] == [(WANT, len(WANT)), ("", 0), ("", 0)]
     assert H.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["option", "button", "svg", "title", "iframe", "select", "noscript"])
+def test_unclosed_raw_elements_take_linear_time(name):
+    import time
+
+    page = f"<article>{f'<p>word words here</p><{name}>a' * 20_000}</article>"
+    start = time.perf_counter()
+    runs = H.parse(page)
+    assert time.perf_counter() - start < 5 and len(runs) > 20_000
+    start = time.perf_counter()
+    H.parse(f"<{name}>" * 80_000)
+    assert time.perf_counter() - start < 5
+
+
+def test_unclosed_raw_elements_lose_no_text():
+    words = "All these words stand in the article and are long enough to be read as such by everyone who reads."
+    weights = H.default_weights()
+    page = f"<article><p>Pick <select><option>a</select> or <option>lost <p>{words}</p><p>{words}</p> <option>x</option></article>"
+    assert H.extract(page, weights).count(words) == 2
+    page = f"<html><head><title>Some page<body><article><p>{words}</p><p>{words}</p><p>{words}</p></article><svg><title>icon</title></svg></body>"
+    assert H.extract(page, weights).count(words) == 3
+    page = f"<article><p>{words}</p><button>Share<p>{words}</p><p>{words}</p><button>x</button></article>"
+    assert H.extract(page, weights).count(words) == 3
+
+
+@pytest.mark.parametrize("wrapper", ["trending-section", "popup-content", "popular", "sidebar"])
+def test_no_word_list_empties_a_page(wrapper):
+    words = "All these words stand in the article and are long enough to be read as such by everyone who reads."
+    page = f'<body><nav><a href="/">Home</a></nav><div class="{wrapper}"><article><h1>Title</h1><p>{words}</p><p>{words}</p></article></div></body>'
+    assert H.extract(page, H.default_weights()).count(words) == 2
+    # where other text is left, what the list names stays out
+    both = f'<body><article><p>{words}</p><p>{words}</p></article><div class="comments"><article><p>I disagree with all of these words and say so here.</p></article></div></body>'
+    assert "disagree" not in H.extract(both, H.default_weights())

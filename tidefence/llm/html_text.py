@@ -63,6 +63,12 @@ PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 #: A quote opens a value only after an equals sign.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>?|[^<]+|<""", re.S)
 _CLOSE: dict[str, re.Pattern] = {}
+#: Tags that the content of these elements cannot hold: without an end tag before, they end there.
+_ENDS = {
+    "option": "p|div|article|section|main|h[1-6]|ul|ol|li|table|nav|header|footer|aside|form|blockquote|body|option|optgroup|select|datalist",
+    "title": "p|div|article|section|main|h[1-6]|ul|ol|table|nav|header|footer|aside|form|body|head|link|meta|script|style|base",
+    "button": "p|article|section|main|h[1-6]|table|nav|header|footer|aside|form|blockquote|body|button",
+}
 
 
 @dataclass
@@ -96,6 +102,7 @@ class _Parser:
     stack: list[tuple[str, str, str]] = field(default_factory=list)  # (element, kind that holds inside, innermost block)
     places: dict[str, list[int]] = field(default_factory=dict)  # where each open element stands in the stack
     block: int = 0
+    lift: bool = False
 
     def kind(self) -> str:
         return self.stack[-1][1] if self.stack else "plain"
@@ -118,7 +125,7 @@ class _Parser:
             found = kind_of_hints(name, attributes) or found
         if outer not in ("plain", "article"):
             # a whole page may stand in a form
-            return "article" if name == "main" or name == "article" and outer == "form" else outer
+            return "article" if name == "main" or name == "article" and (outer == "form" or self.lift) else outer
         if outer == "article" and found == "header":
             return outer  # an article's own heading
         return found or outer
@@ -154,8 +161,10 @@ class _Parser:
         self.runs.append(Run((f"in {self.kind()}", f"link {bool(self.places.get('a'))}", f"place {place}"), n, self.block, decoded, at))
 
 
-def parse(page: str) -> list[Run]:
-    parser, at, end = _Parser(), 0, len(page)
+def parse(page: str, lift: bool = False) -> list[Run]:
+    """The runs of a page in linear time. lift: an article counts as one even in elements whose kind says otherwise."""
+    parser, at, end = _Parser(lift=lift), 0, len(page)
+    unclosed: set[str] = set()  # raw elements without an end from here on
     while at < end:
         m = TOKEN.match(page, at)
         token, start = m[0], at
@@ -174,12 +183,15 @@ def parse(page: str) -> list[Run]:
             parser.close(name, start)
         elif name in RAW and not m[3].endswith("/") and name != "head":
             if name not in _CLOSE:
-                _CLOSE[name] = re.compile(rf"</{re.escape(name)}\s*>?", re.I)
-            close = _CLOSE[name].search(page, at)
+                stop = rf"|(?P<stop></?(?:{_ENDS[name]})\b)" if name in _ENDS else ""
+                _CLOSE[name] = re.compile(rf"</{re.escape(name)}\s*>?{stop}", re.I)
+            close = None if name in unclosed else _CLOSE[name].search(page, at)
             if close:
-                at = close.end()
+                at = close.start() if name in _ENDS and close["stop"] else close.end()
             elif name in ("script", "style"):
                 at = end
+            else:
+                unclosed.add(name)
         elif name == "br":
             parser.runs.append(Run(("tag br",), 0, parser.block, " ", start))
         else:
@@ -244,7 +256,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    runs = parse(page)
+    # a word list alone must not empty a page: if nothing is left, an article inside of what it names is let in
+    return _extracted(parse(page), weights) or ("<article" in page.lower() and _extracted(parse(page, lift=True), weights)) or ""
+
+
+def _extracted(runs: list[Run], weights: Weights) -> str:
     scores = [weights.of(r) for r in runs]
     begin, end = best_region(scores)
     if begin == end:
