@@ -108,3 +108,14 @@ def test_blank_lang_is_a_value(spark):
 
 def test_clashing_columns(docs, clashing):
     assert sorted(map(str, L.identify(clashing).collect())) == sorted(map(str, L.identify(docs).collect()))
+
+
+def test_many_languages(spark):
+    """More than a chain of conditions could hold; a few of them are sampled."""
+    from tidefence.llm import language_id
+
+    rows = [(i, f"wort{i % 400} lang{i % 400} text{i % 400} " * 3, f"l{i % 400}'\"") for i in range(4_000)] + [(9_000 + i, "und so weiter und so fort", "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, order=2, max_docs_per_language=20)
+    assert len(model.languages) == 401
+    assert language_id.identify(docs, order=2, max_docs_per_language=20).filter("held_out").count() > 500

@@ -21,6 +21,7 @@ ignored, whatever they are called.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -202,9 +203,9 @@ def fit(docs: DataFrame, *, folds: int = 5, held_out_fold: int = 0, order: int =
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return ContextTrees([], order, [], [], [], [])
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, max_docs_per_language / n)).otherwise(share)
+    # languages that are sampled, in one constant map: they have over max_docs_per_language documents each, so they are few; all documents of others are taken
+    parts = {lang: max_docs_per_language / n for lang, n in sizes.items() if n > max_docs_per_language}
+    share = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(parts)), "map<string,double>"), F.col("lang")), F.lit(1.0))
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
     counts = sample.mapInPandas(lambda it: _count(order, it), "lang string, k int, gram long, n long")
     model = ContextTrees.freeze(counts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas(), order)
