@@ -140,3 +140,16 @@ def test_wkt_relations_as_columns_and_sql(spark):
     other = spark.createDataFrame([("<urn:x> POINT (5 5)", poly)], "a string, b string")
     with pytest.raises(Exception, match="different reference systems"):
         other.select(W.sf_within("a", "b")).collect()
+
+
+def test_wkt_polygons_with_holes(spark):
+    from tidefence.functions import wkt as W
+
+    W.register(spark)
+    frame = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"
+    points = {(2, 2): "within", (5, 5): "outside", (4, 5): "touches", (10, 3): "touches", (11, 1): "outside", (6, 6): "touches", (8, 2): "within", (3, 3): "within"}
+    df = spark.createDataFrame([(f"POINT ({x} {y})", frame, want) for (x, y), want in points.items()], "p string, g string, want string")
+    sql = df.selectExpr("want", "sf_within(p, g) w", "sf_touches(p, g) t", "sf_intersects(p, g) i", "sf_disjoint(p, g) d")
+    columns = df.select("want", W.sf_within("p", "g").alias("w"), W.sf_touches("p", "g").alias("t"), W.sf_intersects("p", "g").alias("i"), W.sf_disjoint("p", "g").alias("d"))
+    for r in sql.collect() + columns.collect():
+        assert (r.w, r.t, r.i, r.d) == (r.want == "within", r.want == "touches", r.want != "outside", r.want == "outside"), r

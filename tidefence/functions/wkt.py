@@ -29,10 +29,15 @@ def coordinates(wkt: str | Column) -> Column:
 
 
 def edges_of(wkt: str | Column) -> Column:
-    shell = coordinates(wkt)
-    corner = lambda i, k: F.get(shell, i + k)
-    edge = lambda i: F.struct(corner(i, 0)["x"].alias("x1"), corner(i, 0)["y"].alias("y1"), corner(i, 1)["x"].alias("x2"), corner(i, 1)["y"].alias("y2"))
-    return F.transform(F.sequence(F.lit(0), F.size(shell) - 2), edge)
+    """Edges of all rings or lines; none between one ring and the next."""
+
+    def of_ring(shell: Column) -> Column:
+        corner = lambda i, k: F.get(shell, i + k)
+        edge = lambda i: F.struct(corner(i, 0)["x"].alias("x1"), corner(i, 0)["y"].alias("y1"), corner(i, 1)["x"].alias("x2"), corner(i, 1)["y"].alias("y2"))
+        return F.when(F.size(shell) < 2, F.array().cast(G.EDGE_TYPE)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(shell) - 2, F.lit(0))), edge))
+
+    rings = F.regexp_extract_all(F.regexp_replace(_col(wkt), r"^\s*<[^>]*>", ""), F.lit(r"\(([^()]*)\)"), F.lit(1))
+    return F.flatten(F.transform(F.transform(rings, coordinates), of_ring))
 
 
 def _relation(a: str | Column, b: str | Column, test) -> Column:
@@ -67,6 +72,10 @@ def register(spark: SparkSession) -> None:
     pairs = "transform(split(regexp_replace(regexp_replace({0}, '^\\\\s*<[^>]*>', ''), '(?i)[a-z()]+', ' '), ','), p -> named_struct('x', cast(split(trim(p), '\\\\s+')[0] as double), 'y', cast(split(trim(p), '\\\\s+')[1] as double)))"
     spark.sql(f"create or replace temporary function wkt_corners(w string) returns array<struct<x:double,y:double>> return {pairs.format('w')}")
     spark.sql(f"create or replace temporary function corner_edges(c array<struct<x:double,y:double>>) returns {G.EDGE_TYPE} return {edges}")
+    rings = "regexp_extract_all(regexp_replace(w, '^\\\\s*<[^>]*>', ''), '\\\\(([^()]*)\\\\)', 1)"
+    # SQL functions take no lambda's variable, so both texts stand here once more
+    of_rings = f"transform(transform({rings}, r -> {pairs.format('r')}), c -> if(size(c) < 2, cast(array() as {G.EDGE_TYPE}), {edges}))"
+    spark.sql(f"create or replace temporary function wkt_edges(w string) returns {G.EDGE_TYPE} return flatten({of_rings})")
     spark.sql(f"create or replace temporary function wkt_crs(w string) returns string return coalesce(nullif(regexp_extract(w, '^\\\\s*<([^>]*)>', 1), ''), '{CRS84}')")
     box = "px between least(e.x1, e.x2) and greatest(e.x1, e.x2) and py between least(e.y1, e.y2) and greatest(e.y1, e.y2)"
     left, right = "(e.x2 - e.x1) * (py - e.y1)", "(e.y2 - e.y1) * (px - e.x1)"
@@ -83,7 +92,7 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"create or replace temporary function covered_by({arguments}) returns boolean return ({on}) or ({odd})")
     spark.sql(f"create or replace temporary function strictly_within({arguments}) returns boolean return not ({on}) and ({odd})")
     for name, inner in (("sf_within", "strictly_within"), ("sf_intersects", "covered_by"), ("sf_touches", "on_edges")):
-        held = f"{inner}(wkt_corners(a)[0].x, wkt_corners(a)[0].y, corner_edges(wkt_corners(b)))"
+        held = f"{inner}(wkt_corners(a)[0].x, wkt_corners(a)[0].y, wkt_edges(b))"
         wrong = "cast(raise_error('geometries in different reference systems') as boolean)"
         spark.sql(f"create or replace temporary function {name}(a string, b string) returns boolean return case when wkt_crs(a) = wkt_crs(b) then {held} else {wrong} end")
     spark.sql("create or replace temporary function sf_disjoint(a string, b string) returns boolean return not sf_intersects(a, b)")

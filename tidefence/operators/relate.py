@@ -122,12 +122,9 @@ def box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _says(*pairs: tuple[Column, Column, Column | bool]) -> Column:
-    """An array of nine dimensions from (entry's name, dimension, whether); -1 says nothing."""
-    def of(name: str) -> Column:
-        held = [F.when(F.lit(on) if isinstance(on, bool) else on, F.when(entry == name, dim)) for entry, dim, on in pairs]
-        return F.greatest(F.lit(-1), *[F.coalesce(h, F.lit(-1)) for h in held])
-
-    return F.array(*map(of, NAMES)).alias("m")
+    """What is said of entries as (name, dimension, whether), as rows of entry e and least dimension d."""
+    said = [F.when(F.lit(on) if isinstance(on, bool) else on, F.struct(entry.alias("e"), dim.cast("int").alias("d"))) for entry, dim, on in pairs]
+    return F.inline(F.array_compact(F.array(*said))).alias("e", "d")
 
 
 def _entry(row: Column, column: Column) -> Column:
@@ -288,9 +285,16 @@ def _parts(pairs: DataFrame, met: DataFrame, side: str, other: str) -> DataFrame
     return _placed(dots.unionByName(rings).select("a", "b", own, theirs, where.alias("where")), side)
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """``geometries`` of df(id, wkt), stored, for use more than once."""
+    return stored(geometries(df), "geometries")
+
+
 def relate(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """a, b, matrix: the nine-intersection text (row by row: interior, boundary, exterior) of pairs(a, b) of ids, by default of all pairs whose boxes meet."""
-    ga, gb = (stored(geometries(g), "geometries") for g in (a, b))
+    """a, b, matrix: the nine-intersection text (row by row: interior, boundary, exterior) of pairs(a, b) of ids, by default of all pairs whose boxes meet.
+
+    a and b are tables of id and wkt, or what ``prepared`` made of them."""
+    ga, gb = (g if "edges" in g.columns else prepared(g) for g in (a, b))
     pairs = box_pairs(ga, gb) if pairs is None else pairs.select("a", "b").distinct()
     named = lambda g, s: g.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in g.columns if c != "id"])
     both = pairs.join(named(ga, "a"), "a").join(named(gb, "b"), "b")
@@ -299,8 +303,8 @@ def relate(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFr
     met = stored(meetings(both.filter((F.col("a_dim") >= LINE) & (F.col("b_dim") >= LINE))), "meetings")
     said = [_base(both), _dots(both, "a", "b"), _dots(both, "b", "a"), _of_meetings(met), _parts(both, met, "a", "b"), _parts(both, met, "b", "a")]
     every = reduce(DataFrame.unionByName, said)
-    dims = every.groupBy("a", "b").agg(*[F.max(F.get("m", F.lit(i))).alias(n) for i, n in enumerate(NAMES)])
-    return dims.select("a", "b", F.concat(*[F.when(F.col(n) < 0, "F").otherwise(F.col(n).cast("string")) for n in NAMES]).alias("matrix"))
+    dims = every.groupBy("a", "b").agg(*[F.max(F.when(F.col("e") == n, F.col("d"))).alias(n) for n in NAMES])
+    return dims.select("a", "b", F.concat(*[F.coalesce(F.col(n).cast("string"), F.lit("F")) for n in NAMES]).alias("matrix"))
 
 
 def matches(matrix: Column, pattern: str) -> Column:

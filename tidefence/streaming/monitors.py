@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.geometry import ring_covers
 from ..operators.events import mask_of, whole_mask
 from ..operators.machine import TRACE, Fold, Program, to_frame
 from ..operators.regions import Region
@@ -54,3 +55,21 @@ def windowed_crossings(crossed: DataFrame, window: str, watermark: str) -> DataF
     """Crossings per region, kind and tumbling window of a stream of crossings(region, kind, ts)."""
     c = crossed.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
     return c.groupBy(F.window("event_time", window), "region", "kind").agg(F.count("*").alias("n")).select("window.start", "window.end", "region", "kind", "n")
+
+
+def zone_stays(moves: DataFrame, regions: list[Region], gap: str, watermark: str) -> DataFrame:
+    """Stays of subjects in regions, of a table or a stream of moves(subject, ts, x, y): covered moves less than ``gap`` apart are one stay, which ends a gap after its last move.
+
+    On a stream a stay comes out once, when the watermark has passed its end; the state is one row for each open stay, and moves behind the watermark are dropped
+    (``late_moves`` counts them). On a table all stays come out.
+    """
+    m = moves.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
+    inside = F.array_compact(F.array(*[F.when(ring_covers(F.col("x"), F.col("y"), r.shell), F.lit(r.name)) for r in regions]))
+    inside = m.select("subject", "event_time", F.explode(inside).alias("region"))
+    stays = inside.groupBy("subject", "region", F.session_window("event_time", gap).alias("stay")).agg(F.count("*").alias("n"))
+    return stays.select("subject", "region", F.col("stay.start").alias("start"), F.col("stay.end").alias("end"), "n")
+
+
+def late_moves(progress: list) -> int:
+    """Rows behind the watermark, from the progress of a query."""
+    return sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators)
