@@ -141,3 +141,11 @@ def test_hot_plans_stay_in_the_jvm_and_push_down(spark):
     text = plan(Q.QUERIES["bbox_window_scan"](spark, DATA))
     assert "PushedFilters: [IsNotNull(value)" in text and "event_type" not in text
     assert plan(Q.QUERIES["crossings"](spark, DATA)).count("Exchange hashpartitioning") == 1
+
+
+def test_counter_difference_of_groups_on_one_side(spark):
+    from tidefence.operators import stats
+
+    before = spark.createDataFrame([("a", 5, 1.5), ("gone", 4, 0.5)], "k string, n int, v double")
+    after = spark.createDataFrame([("a", 7, 1.0), ("new", 3, None)], "k string, n int, v double")
+    assert sorted(map(tuple, stats.counter_difference(before, after, "k").collect())) == [("a", 2, -0.5), ("gone", -4, -0.5), ("new", 3, None)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.sinks import stored
 from .events import bit_of, crossings_of_steps, sustained_of_crossings, with_steps
 from .regions import Region
 
@@ -44,6 +45,7 @@ def lag_summary(held: DataFrame, coarse_us: int = 60_000_000) -> DataFrame:
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     lags = held.groupBy((us("emitted_at") - us("effective_at")).alias("us")).agg(F.count("*").alias("n")).withColumn("step", F.floor(F.col("us") / coarse_us))
+    lags = stored(lags, "lags")  # read four times below; what they derive from is worked out once
     steps = lags.groupBy("step").agg(F.sum("n").alias("n"))
     below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.select("step", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
@@ -82,12 +84,13 @@ def counter_delta(samples: DataFrame, at: str, counter: str, *keys: str) -> Data
 
 
 def counter_difference(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
-    """After minus before of every numeric column both have, by key; other columns are left out."""
+    """After minus before of every numeric column both have, by key; a key of one side only counts as zero on the other. Other columns are left out."""
     whole = {"int", "bigint", "double", "float", "smallint", "tinyint"}
     kinds = dict(after.dtypes)
     shared = [c for c, k in before.dtypes if c not in keys and k in whole and kinds.get(c) in whole]
-    j = before.alias("b").join(after.alias("a"), list(keys))
-    return j.select(*keys, *[(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(c) for c in shared])
+    j = before.withColumn("in_b", F.lit(True)).alias("b").join(after.withColumn("in_a", F.lit(True)).alias("a"), list(keys), "full")
+    zero = F.lit(0)
+    return j.select(*keys, *[(F.coalesce(F.col(f"a.{c}"), F.when(F.col("in_a").isNull(), zero)) - F.coalesce(F.col(f"b.{c}"), F.when(F.col("in_b").isNull(), zero))).alias(c) for c in shared])
 
 
 def resource_summary(samples: DataFrame, *keys: str) -> DataFrame:
