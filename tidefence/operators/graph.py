@@ -187,5 +187,5 @@ def _solutions(t: DataFrame, patterns: Sequence[Pattern], known: set[str] | None
             # a triple without variables holds or does not
             out = out if counts[i] else out.limit(0)
         else:
-            out = _joined(out, right, shared, "inner") if shared else out.join(right)  # behind a pattern without variables
+            out = out.join(right)  # only a pattern without variables, so one row at most, stands before
     return out.drop("^held")
