@@ -75,7 +75,8 @@ def orientation(x1: Column, y1: Column, x2: Column, y2: Column, px: Column, py:
     differences over- or underflows, so for ordinates of zero or between 1e-70 and 1e150 in size."""
     left, right = (x2 - x1) * (py - y1), (y2 - y1) * (px - x1)
     det = left - right
-    clear = F.abs(det) > (F.abs(left) + F.abs(right)) * DOUBT
+    # a product of zero leaves the other's sign, which is exact
+    clear = (F.abs(det) > (F.abs(left) + F.abs(right)) * DOUBT) | (left == 0) | (right == 0)
     return F.when(clear, F.signum(det).cast("int")).otherwise(exact_orientation(x1, y1, x2, y2, px, py))
 
 
