@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -88,12 +89,13 @@ def test_outlines_of_cells_of_several_sizes(spark):
     rng = random.Random(8)
     groups, areas = {}, {}
     for g in "pqr":
-        cells = [(x, y, w) for x in range(0, 16, 4) for y in range(0, 16, 4) for (x, y, w) in ([(x, y, 4)] if rng.random() < 0.4 else [(x + i, y + j, 1) for i in range(4) for j in range(4) if rng.random() < 0.6])]
+        cells = []
+        for x, y in itertools.product(range(0, 16, 4), repeat=2):
+            cells += [(x, y, 4)] if rng.random() < 0.4 else [(x + i, y + j, 1) for i in range(4) for j in range(4) if rng.random() < 0.6]
         groups[g], areas[g] = boxes(cells), sum(w * w for _, _, w in cells)
     rows = outlined(spark, groups).collect()
     for g in groups:
-        filled = {r for e in [groups[g]] for r in e}
-        assert sum(r.area for r in rows if r.grp == g) == areas[g] and filled
+        assert sum(r.area for r in rows if r.grp == g) == areas[g]
     rings = {}
     for r in rows:
         rings.setdefault((r.grp, r.ring), []).append(r)
