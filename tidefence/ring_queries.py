@@ -11,7 +11,7 @@ from .operators import rings as R
 from .queries import _MOVES, events, moves, query
 
 #: Consecutive events that make a ring.
-SIDES = 12
+SIDES = 5
 
 
 @query(
@@ -35,9 +35,9 @@ told AS (
 SELECT ring, corners, coalesce(fault, CASE WHEN n > 0 THEN 'crossing' END) AS fault, CASE WHEN fault IS NULL THEN n END AS crossings FROM told"""
 )
 def ring_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that the ring of every twelve consecutive events breaks, and how many of its edges cross or touch."""
+    """The first rule that the ring of every five consecutive events breaks, and how many of its edges cross or touch."""
     m = moves(spark, sf_dir).filter("x IS NOT NULL AND y IS NOT NULL").withColumn("ring", F.expr(f"seq div {SIDES}"))
-    packed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda e: F.struct(F.bround(e["x"] * 100).alias("x"), e["y"].alias("y")))  # twelve events at most
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda e: F.struct(F.bround(e["x"] * 100).alias("x"), e["y"].alias("y")))  # five events at most
     corners = m.groupBy("ring").agg(packed.alias("c")).select("ring", F.posexplode("c").alias("pos", "c")).select("ring", "pos", "c.x", "c.y")
     return R.ring_faults(corners)
 
@@ -59,7 +59,7 @@ reach AS (
 ),
 shells AS (SELECT event_type, count(*) AS shells FROM (SELECT event_type, ix, iy, min(label) AS label FROM reach GROUP BY ALL) WHERE label = ix * {_N} + iy GROUP BY event_type),
 areas AS (SELECT event_type, count(*) * {1024 // _N * (128 // _N)}.0 AS area FROM cells GROUP BY event_type)
-SELECT event_type, area, length, shells, shells - (q1 - q3 + 2 * qd) // 4 AS holes, q1 + q3 + 2 * qd AS corners FROM areas JOIN sides USING (event_type) JOIN shells USING (event_type) JOIN turns USING (event_type)"""
+SELECT event_type, CAST(area AS DOUBLE) AS area, CAST(length AS DOUBLE) AS length, shells, shells - (q1 - q3 + 2 * qd) // 4 AS holes, q1 + q3 + 2 * qd AS corners FROM areas JOIN sides USING (event_type) JOIN shells USING (event_type) JOIN turns USING (event_type)"""
 )
 def cell_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, length, shells, holes and corners of the outline of all cells that a kind of event fills; the cells are coarsened first, so neighbours differ in size."""

@@ -17,7 +17,7 @@ from .operators import events as E
 from .operators import stats, world
 from .operators.regions import region_table
 from .queries import _CROSSINGS, _MEMBERS, _MOVES, _SUSTAINED, _SUSTAINED_COLUMNS, CRS, DURATIONS, ZONES, events, moves, query
-from .sources import documents, measurements, tracks
+from .sources import documents, measurements, point_table, tracks
 from .streaming.sinks import shared_folder
 
 # -- numbers and texts ----------------------------------------------------------------------------------
@@ -354,3 +354,21 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = [F.struct(F.lit(z.name).alias("region"), F.lit(f"<{CRS}> POLYGON ((" + ", ".join(f"{x:g} {y:g}" for x, y in z.shell) + "))").alias("z")) for z in ZONES]
     pairs = p.select("seq", "p", F.inline(F.array(*zones)))
     return pairs.selectExpr("seq", "region", "sf_within(p, z) AS within", "sf_intersects(p, z) AS intersects", "sf_touches(p, z) AS touches", "sf_disjoint(p, z) AS disjoint")
+
+
+@query(
+    f"""WITH {_MOVES}, loads AS (
+  SELECT subject, seq, x, y, 0 AS load_number FROM moves UNION ALL SELECT subject, seq, -x, y + 0.5, 1 FROM moves JOIN events ON seq = event_id WHERE event_type = 'error'
+)
+SELECT subject, seq, max_by(x, load_number) AS x, max_by(y, load_number) AS y, max(load_number) AS load_number FROM loads GROUP BY subject, seq"""
+)
+def loaded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All moves loaded in bulk, those of errors corrected by a second load, the first load repeated; points are read back from the binaries of the newest rows."""
+    path = f"{shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    m = moves(spark, sf_dir).select("subject", "seq", "x", "y")
+    wrong = events(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("seq"))
+    fixed = m.join(wrong, "seq").select("subject", "seq", (-F.col("x")).alias("x"), (F.col("y") + 0.5).alias("y"))
+    for rows, name in ((m, "moves"), (fixed, "corrections"), (m, "moves")):
+        point_table.load(rows, path, name)
+    xy = point_table.ordinates("geometry")
+    return point_table.current(spark, path, "subject", "seq").select("subject", "seq", "load_number", xy.alias("p")).select("subject", "seq", "p.x", "p.y", "load_number")
