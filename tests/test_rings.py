@@ -53,8 +53,8 @@ def test_empty_and_null_rows(spark):
     assert R.outlines(spark.createDataFrame([], EDGES)).count() == 0
 
 
-@pytest.mark.parametrize(("turn", "n"), [((1, 0), 25_000), ((0, 1), 2_500), ((1, 1), 2_500)])
-def test_long_rings_cost_few_pairs(spark, turn, n):
+@pytest.mark.parametrize("turn", [(1, 0), (0, 1), (1, 1)])
+def test_long_rings_cost_few_pairs(spark, turn, n=25_000):
     """A comb of 4 n edges with its teeth in three directions; one tooth is then bent over another."""
     (c, s), out = turn, {}
     for name in ("comb", "bent"):
