@@ -81,3 +81,22 @@ def test_coarsening(spark):
             cells = new
         want += [(k, c) for c in cells if not any(c >> 2 * i in cells for i in range(1, 4) if c >> 2 * i)]
     assert got == sorted(want)
+
+
+def test_points_meet_a_cover_without_one_task_per_cell(spark, monkeypatch):
+    """Nearly all points lie in one coarse cell; they are neither dealt by that cell alone nor asked for at levels that the cover lacks."""
+    cover = spark.createDataFrame([("a", number(0, 0, 1), None), ("b", number(7, 7, 3), [1.0])], "region string, cell long, edges array<double>")
+    points = spark.range(800).select("id", F.when(F.col("id") < 790, F.lit(number(1, 2, 3))).otherwise(F.lit(number(7, 7, 3))).alias("own"))
+    want = sorted([(i, "a") for i in range(790)] + [(i, "b") for i in range(790, 800)])
+    small = C.in_cover(points, cover, 3)
+    assert sorted((r.id, r.region) for r in small.collect()) == want
+    monkeypatch.setattr(C, "SMALL_COVER", 0)
+    large = C.in_cover(points, cover, 3)
+    assert sorted((r.id, r.region) for r in large.collect()) == want
+    empty = C.in_cover(points, cover.filter("false"), 3)
+    assert empty.count() == 0
+    for df in (small, large):
+        asked = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in asked  # one row for each of two levels, not for all four
+    dealt = large.groupBy("region").agg(F.count_distinct(F.pmod(F.xxhash64("id", "own"), F.lit(C.DEALT))).alias("n")).collect()
+    assert {r.region: r.n > 4 for r in dealt}["a"] and "deal" in large._jdf.queryExecution().optimizedPlan().toString()

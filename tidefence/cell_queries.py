@@ -41,8 +41,7 @@ def cell_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = region_table(spark, ZONES)
     cover = GRID.cover(zones, level).join(zones.select("name", "edges"), "name").select(F.col("name").alias("region"), "cell", F.when(~F.col("whole"), F.col("edges")).alias("edges"))
     m = moves(spark, sf_dir).withColumn("own", GRID.cell(F.col("x"), F.col("y"), level))
-    m = m.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(level)), lambda k: F.call_function("shiftright", "own", 2 * k))))
-    met = m.join(cover, "cell")
+    met = C.in_cover(m, cover, level)
     inside = F.col("edges").isNull() | G.covered_by(F.col("x"), F.col("y"), F.col("edges"))
     # a point on the border of a whole cell and of a cell on the boundary lies in one cell only, so no pair comes twice
     return met.filter(inside).select("subject", "seq", "region")

@@ -20,6 +20,8 @@ from . import geometry as G
 
 DEEPEST = 30
 EVENS = 0x5555555555555555
+#: Cells and edges of a cover up to which each task gets it whole; a larger one is dealt by cell, and each cell's points to so many tasks.
+SMALL_COVER, DEALT = 200_000, 16
 
 
 def _spread(v: Column) -> Column:
@@ -138,6 +140,22 @@ class Grid:
         return done
 
 
+def in_cover(points: DataFrame, cover: DataFrame, level: int) -> DataFrame:
+    """Pairs of points(own, ...), own being a cell of ``level``, and cover(cell, edges, ...) whose cell is the point's own or above it.
+
+    A point asks only for cells of levels that the cover has. Coarse cells hold a large share of all points, so points are not dealt by cell alone.
+    """
+    held = stored(cover, "covers")
+    found = held.agg(F.sum(1 + F.coalesce(F.size("edges"), F.lit(0))).alias("n"), F.collect_set(level_of(F.col("cell"))).alias("levels")).first()  # at most 31 levels
+    ups = F.array(*[F.lit(level - k) for k in sorted(found["levels"])]) if found["levels"] else F.array().cast("array<int>")
+    at = points.withColumn("cell", F.explode(F.transform(ups, lambda k: F.call_function("shiftright", "own", 2 * k))))
+    if (found["n"] or 0) <= SMALL_COVER:
+        return at.join(F.broadcast(held), "cell")
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.lit(DEALT)).cast("int")
+    every = held.withColumn("deal", F.explode(F.array(*map(F.lit, range(DEALT)))))
+    return at.withColumn("deal", deal).join(every, ["cell", "deal"]).drop("deal")
+
+
 def _meets_box(e: Column, b: Column) -> Column:
     """Whether a segment has a point in a closed box: their boxes meet and the box's corners do not all lie on one side of the segment's line."""
     boxes = (F.least(e["x1"], e["x2"]) <= b["x2"]) & (F.greatest(e["x1"], e["x2"]) >= b["x1"]) & (F.least(e["y1"], e["y2"]) <= b["y2"]) & (F.greatest(e["y1"], e["y2"]) >= b["y1"])
