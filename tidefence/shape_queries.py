@@ -170,9 +170,10 @@ matrices AS (
 def shape_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine intersections of every event's shape with each fixed one whose box it meets, and of empty shapes with all."""
     events, fixed = event_shapes(spark, sf_dir), fixed_shapes(spark)
-    stated = events.select(F.col("id").alias("a"), F.explode(F.array(*map(F.lit, FIXED))).alias("b"), "wkt").filter(F.endswith("wkt", F.lit("EMPTY")) | F.col("b").isin([i for i, t in FIXED.items() if "EMPTY" in t]))
     left, right = R.prepared(events), R.prepared(fixed)
-    return R.relate(left, right, R.box_pairs(left, right).unionByName(stated.select("a", "b"))).select(F.col("a").alias("seq"), F.col("b").alias("shape"), "matrix")
+    nothing = [i for i, t in FIXED.items() if "EMPTY" in t]
+    stated = left.select(F.col("id").alias("a"), F.explode(F.when(F.col("dim") == R.EMPTY, F.array(*map(F.lit, FIXED))).otherwise(F.array(*map(F.lit, nothing)))).alias("b"))
+    return R.relate(left, right, R.box_pairs(left, right).unionByName(stated)).select(F.col("a").alias("seq"), F.col("b").alias("shape"), "matrix")
 
 
 _FRAME = "x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 100"
