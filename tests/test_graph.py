@@ -119,3 +119,16 @@ def test_the_smallest_pattern_comes_first(spark):
     df = match(spark.createDataFrame(rows, SCHEMA), GraphQuery([(A, "common", B), (A, "rare", C)]))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.index("rare") < plan.index("common") and df.count() == 1
+
+
+def test_prefix_pass_reads_only_what_may_declare(spark, tmp_path, monkeypatch):
+    """Statements without a declaration are left out before any pattern; ends with blanks, a bare full stop and comments read as before."""
+    from tidefence.sources import turtle
+
+    seen = []
+    monkeypatch.setattr(turtle, "prefixes", lambda found, read=turtle.prefixes: (seen.append(found.count()), read(found))[1])
+    body = "".join(f"p:s{i} p:o \"v\\n{i}\" .\n" for i in range(50))
+    (tmp_path / "a.ttl").write_text("# @prefix no: <urn:no#> .\n@prefix p: <urn:p#> .\n" + body + "# a remark\np:last p:o p:e .  \n\t.  \n".replace(".  \n\t.", "."))
+    rows = {(r.s, r.o) for r in turtle.turtle_triples(spark, str(tmp_path / "a.ttl")).collect()}
+    assert rows == {(f"urn:p#s{i}", f"v\n{i}") for i in range(50)} | {("urn:p#last", "urn:p#e")}
+    assert seen[0] <= 2

@@ -59,14 +59,16 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
 def _lexemes(text: str) -> Iterator[tuple[str, str, tuple]]:
-    at = 0
-    while at < len(text):
-        m = _TURTLE.match(text, at)
+    at, end, match = 0, len(text), _TURTLE.match
+    while at < end:
+        m = match(text, at)
         if not m:
             raise ModelError(f"Turtle: cannot read {text[at : at + 20]!r}")
-        if m.lastgroup != "skip":
-            kind = "prefix" if m["prefix"] else m.lastgroup
-            yield kind, m[0], m.groups()[2:4]
+        kind = m.lastgroup
+        if m["prefix"]:
+            yield "prefix", m[0], m.groups()[2:4]
+        elif kind != "skip":
+            yield kind, m[0], ()
         at = m.end()
 
 
@@ -78,6 +80,8 @@ def read_turtle(text: str, known: dict[str, str] | None = None, *, scope: str =
     i = 0
 
     def unescape(s: str) -> str:
+        if "\\" not in s:
+            return s
         return re.sub(r"\\(u[0-9A-Fa-f]{4}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "u" else {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), s)
 
     def full(name: str) -> str:

@@ -27,11 +27,21 @@ PREFIX = r"^\s*(?:#[^\n]*\n\s*)*@prefix\s+([\w-]*):\s*<([^>]*)>\s*$"
 MOST_PREFIXES = 10_000
 
 
+def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path, lineSep=" .\n").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("statement"))
+
+
+def _cleaned(raw: DataFrame) -> DataFrame:
+    # what follows the last separator is white space, or a statement with a bare full stop; a pattern that begins with a run of blanks would try each blank of the text
+    ended = F.rtrim(F.col("statement"), F.lit(" \t\n\r\f\x0b"))
+    bare = F.when(F.endswith(ended, F.lit(".")), F.rtrim(F.substr(ended, F.lit(1), F.length(ended) - 1), F.lit(" \t\n\r\f\x0b"))).otherwise(ended)
+    comments = F.when(F.contains("statement", F.lit("#")), F.regexp_replace("statement", r"(?m)^\s*#.*$", "")).otherwise(F.col("statement"))
+    return raw.withColumn("statement", bare).filter(comments.rlike(r"\S"))
+
+
 def statements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, statement (without its full stop) of the files at path."""
-    raw = spark.read.text(path, lineSep=" .\n").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("statement"))
-    # what follows the last separator is white space, or a statement with a bare full stop
-    return raw.withColumn("statement", F.regexp_replace("statement", r"\s*\.?\s*\z", "")).filter(F.regexp_replace("statement", r"(?m)^\s*#.*$", "").rlike(r"\S"))
+    return _cleaned(_raw(spark, path))
 
 
 def prefixes(found: DataFrame) -> dict[str, str]:
@@ -50,7 +60,8 @@ def prefixes(found: DataFrame) -> dict[str, str]:
 def turtle_triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """s, p, o, datatype of Turtle files."""
     found = statements(spark, path)
-    known = prefixes(found)
+    # most statements say nothing of prefixes; what holds no such word is left out before any pattern is tried
+    known = prefixes(_cleaned(_raw(spark, path).filter(F.contains("statement", F.lit("@prefix")))))
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
@@ -60,7 +71,7 @@ def turtle_triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["s", "p", "o", "datatype"], dtype=object)
 
     scope = F.lower(F.hex(F.xxhash64("file", "statement")))
-    rest = found.filter(~F.col("statement").rlike(PREFIX)).select(F.lower(F.hex(F.xxhash64("file"))).alias("file"), "statement", scope.alias("scope"))
+    rest = found.filter(~(F.contains("statement", F.lit("@prefix")) & F.col("statement").rlike(PREFIX))).select(F.lower(F.hex(F.xxhash64("file"))).alias("file"), "statement", scope.alias("scope"))
     return rest.mapInPandas(parse, TRIPLES)
 
 
