@@ -106,6 +106,28 @@ def test_query_results(spark, tmp_path):
     assert sorted(stats.compare_rows(left, rows.filter("subject = 'b'"), ["subject", "region"]).select("subject", "status").collect()) == [("a", "left only"), ("b", "different")]
 
 
+def test_result_names_are_last_parts(spark):
+    names = {"https://e.test/a/b%20c": "b c", "https://e.test/a/b/": "b", "https://e.test/a/b?q=/x#y": "b", "https://e.test/a/b#/c?d": "b", "b": "b", "https://e.test/a//": ""}
+    flags = {p: {"value": "true"} for p in documents.PREDICATES}
+    doc = {"results": {"bindings": [{"subject": {"value": iri}, "region": {"value": f"r/{i}"}, **flags} for i, iri in enumerate(names)]}}
+    got = documents.sparql_results(texts(spark, doc)).orderBy("region").collect()
+    assert [r.subject for r in got] == list(names.values())
+
+
+def test_result_documents_are_built_in_their_rows(spark, tmp_path):
+    """One shuffle, that of the check for repeats: no document is gathered from rows of its bindings."""
+    from tidefence.source_queries import query_result_rows
+
+    rows = [(i, i % 2, float(x), f'{{"k": {y}}}') for i, (x, y) in enumerate([(10, 10), (30, 60), (50, 30), (2000, 5)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double, props string").selectExpr("*", "timestamp '2026-01-01' AS ts", "'view' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    df = query_result_rows(spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.subject, r.region): (r.inside, r.coveredBy, r.disjoint, r.onBoundary) for r in df.collect()}
+    inside, outside, edge = (True, True, False, False), (False, False, True, False), (False, True, False, True)
+    assert len(got) == 20 and got["0", "Notch"] == inside and got["1", "Tri"] == edge and got["2", "BandLow"] == got["2", "BandMid"] == edge
+    assert all(v == outside for (subject, _), v in got.items() if subject == "3")
+
+
 def test_manifest_and_register(spark):
     m = documents.manifest(texts(spark, {"classes": {"core": ["/t/a", "/t/b"], "ext": ["/t/c"]}}))
     assert m.count() == 3

@@ -53,8 +53,8 @@ def mask_of(moves: DataFrame, regions: list[Region]) -> Column:
     return words_of([_same_crs(moves, r.crs) & covers(r) for r in regions])
 
 
-def membership(moves: DataFrame, regions: list[Region]) -> DataFrame:
-    """A row for each move and region of the same system: covered (boundary included), strict, on_boundary."""
+def relations(moves: DataFrame, regions: list[Region]) -> Column:
+    """An array with a struct for each region: region, rank, same (system), on_boundary, odd (passed by a ray)."""
     x, y = F.col("x"), F.col("y")
     rows = []
     for r in regions:
@@ -62,7 +62,13 @@ def membership(moves: DataFrame, regions: list[Region]) -> DataFrame:
         edge = F.when(box, G.ring_boundary(x, y, r.shell)).otherwise(False)
         odd = F.when(box, G.ring_odd(x, y, r.shell)).otherwise(False)
         rows.append(F.struct(F.lit(r.name).alias("region"), F.lit(r.rank).alias("rank"), _same_crs(moves, r.crs).alias("same"), edge.alias("on_boundary"), odd.alias("odd")))
-    out = moves.select("*", F.inline(F.array(*rows))).filter("same").drop("same")
+    return F.array(*rows)
+
+
+def membership(moves: DataFrame, regions: list[Region]) -> DataFrame:
+    """A row for each move and region of the same system: covered (boundary included), strict, on_boundary."""
+    # as a column of its own the array is compiled, which a generator's argument is not if it holds a lambda
+    out = moves.withColumn("_relations", relations(moves, regions)).select("*", F.inline("_relations")).filter("same").drop("_relations", "same")
     return out.withColumn("strict", ~F.col("on_boundary") & F.col("odd")).withColumn("covered", F.col("on_boundary") | F.col("odd")).drop("odd")
 
 

@@ -86,11 +86,16 @@ def moving_feature_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MEMBERS} SELECT CAST(seq AS VARCHAR) AS subject, region, strict AS inside, covered AS \"coveredBy\", NOT covered AS disjoint, on_boundary AS \"onBoundary\" FROM members")
 def query_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result document for every move, with a binding for each zone, parsed back."""
-    m = E.membership(moves(spark, sf_dir), ZONES)
+    m = moves(spark, sf_dir)
     value = lambda c: F.struct(c.cast("string").alias("value"))
-    iri = lambda kind, c: value(F.concat(F.lit(f"https://e.test/{kind}/"), T.iri_part(c.cast("string"))))
-    b = F.struct(iri("instance", F.col("seq")).alias("subject"), iri("region", F.col("region")).alias("region"), value(F.col("strict")).alias("inside"), value(F.col("covered")).alias("coveredBy"), value(~F.col("covered")).alias("disjoint"), value(F.col("on_boundary")).alias("onBoundary"))
-    docs = m.select("seq", b.alias("b")).groupBy("seq").agg(F.collect_list("b").alias("b"))
+    iri = lambda kind, c: F.concat(F.lit(f"https://e.test/{kind}/"), T.iri_part(c.cast("string")))
+
+    def binding(r: Column) -> Column:
+        edge, covered = r["on_boundary"], r["on_boundary"] | r["odd"]
+        return F.struct(value(F.col("subject")).alias("subject"), value(iri("region", r["region"])).alias("region"), value(~edge & r["odd"]).alias("inside"), value(covered).alias("coveredBy"), value(~covered).alias("disjoint"), value(edge).alias("onBoundary"))
+
+    m = m.select(iri("instance", F.col("seq")).alias("subject"), E.relations(m, ZONES).alias("r"))
+    docs = m.select(F.array(*[binding(F.get("r", F.lit(i))) for i in range(len(ZONES))]).alias("b"))
     return documents.sparql_results(docs.select(F.to_json(F.struct(F.struct(F.col("b").alias("bindings")).alias("results"))).alias("value")))
 
 

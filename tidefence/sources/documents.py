@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ModelError
@@ -174,7 +174,12 @@ def sparql_results(texts: DataFrame) -> DataFrame:
     cell = "struct<value:string>"
     fields = ", ".join(f"{n}:{cell}" for n in ("subject", "region", *PREDICATES))
     rows = texts.select(F.explode(F.from_json("value", f"results struct<bindings:array<struct<{fields}>>>")["results"]["bindings"]).alias("b"))
-    name = lambda c: F.url_decode(F.regexp_extract(F.regexp_replace(F.col(f"b.{c}.value"), r"[?#].*$", ""), r"([^/]+)/?$", 1))
+
+    def name(c: str) -> Column:
+        # by cuts: an unanchored pattern tries every place of every IRI
+        path = F.substring_index(F.substring_index(F.col(f"b.{c}.value"), "?", 1), "#", 1)
+        return F.url_decode(F.substring_index(F.when(path.endswith("/"), F.left(path, F.length(path) - 1)).otherwise(path), "/", -1))
+
     truth = lambda c: F.when(F.col(f"b.{c}.value").isin("true", "false", "1", "0"), F.col(f"b.{c}.value").isin("true", "1"))
     out = rows.select(name("subject").alias("subject"), name("region").alias("region"), *[truth(c).alias(c) for c in PREDICATES])
     return no_repeats(complete(out), "subject", "region")
