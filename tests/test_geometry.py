@@ -142,6 +142,29 @@ def test_wkt_relations_as_columns_and_sql(spark):
         other.select(W.sf_within("a", "b")).collect()
 
 
+def test_exponents_are_no_words(spark):
+    """Numbers with an exponent, as short_number prints small and large ones, are read whole."""
+    text = f"<{CRS}> POINT (1e-07 -2.5E+15)"
+    row = spark.createDataFrame([(text, "MULTIPOINT Z((1 2e3 7),(-4 .5 8))")], "a string, b string").select(W.first_point("a").alias("p"), W.coordinates("a").alias("a"), W.coordinates("b").alias("b"), W.first_point("b").alias("q")).first()
+    assert tuple(row.p) == (1e-07, -2.5e15) and [tuple(c) for c in row.a] == [tuple(row.p)]
+    assert [tuple(c) for c in row.b] == [(1.0, 2000.0), (-4.0, 0.5)] and tuple(row.q) == (1.0, 2000.0)
+
+
+def test_wkt_relations_compute_a_move_once(spark, tmp_path):
+    """Relations are compiled and inlined from one array, and no step derives points a second time."""
+    from tidefence.queries import wkt_relations
+
+    rows = [(i, i % 2, float(x), f'{{"k": {y}}}') for i, (x, y) in enumerate([(10, 10), (30, 60), (1e-7, 30), (2000, 5)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double, props string").selectExpr("*", "timestamp '2026-01-01' AS ts", "'view' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    df = wkt_relations(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan()
+    assert "NestedLoop" not in plan.toString() and "Filter (size(" not in plan.toString()
+    got = {(r.seq, r.region): (r.within, r.intersects, r.touches) for r in df.collect()}
+    inside, outside, edge = (True, True, False), (False, False, False), (False, True, True)
+    assert len(got) == 20 and got[0, "Notch"] == inside and got[1, "Tri"] == edge and got[2, "BandLow"] == got[2, "BandMid"] == edge
+    assert got[2, "Tri"] == outside and all(v == outside for (seq, _), v in got.items() if seq == 3)
+
+
 def test_wkt_polygons_with_holes(spark):
     from tidefence.functions import wkt as W
 

@@ -69,14 +69,17 @@ def short_number(v: Column, digits: int = 15, arrow: bool = True) -> Column:
     subnormal numbers, and numbers of 16 and more digits are printed in Arrow batches, all others in the JVM. Without arrow all are printed in the JVM;
     ties are then exact for sizes from 1e-7 to 1e15 at 15 digits, and what is smaller or larger may be rounded up at a tie.
     """
+    size, text = F.abs(v), v.cast("string")
+    # Java's shortest decimal as it stands: no exponent, no more digits than are printed, so nothing is rounded (at most 15 digits of a double are its own)
+    short = (size >= 1e-3) & (size < float(10 ** min(digits, 7))) & (F.length(text) <= digits + 1) if digits <= 15 else F.lit(False)
+    plain = F.when(short, F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text))
     if not arrow:
-        return F.when(_is_tie(v, digits), _let(_untied(v, digits), lambda u: _java_number(u, digits))).otherwise(_java_number(v, digits))
-    size = F.abs(v)
+        return plain.when(_is_tie(v, digits), _let(_untied(v, digits), lambda u: _java_number(u, digits))).otherwise(_java_number(v, digits))
     shortest = F.regexp_replace(F.regexp_replace(size.cast("string"), "E.*", ""), r"^0\.0*|\.", "")
     nearly_half = F.substr(shortest, F.lit(digits + 1), F.lit(1)).isin("3", "4", "5", "6")
     doubt = nearly_half | (size < 2.3e-308) if digits <= 15 else size < float("inf")
     doubt = doubt & (size > 0) & (size < float("inf"))
-    return F.when(doubt, _exact(digits)(F.when(doubt, v))).otherwise(_java_number(v, digits))
+    return plain.when(doubt, _exact(digits)(F.when(doubt, v))).otherwise(_java_number(v, digits))
 
 
 def point_wkt(x: Column, y: Column, crs: Column | None = None) -> Column:

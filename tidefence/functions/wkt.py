@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import geometry as G
 
 CRS84 = "http://www.opengis.net/def/crs/OGC/1.3/CRS84"
+#: An IRI before the geometry, words and brackets (a letter after a digit is an exponent), the first coordinates, and what is in innermost brackets.
+_IRI, _WORDS = r"^\s*<[^>]*>", r"(?i)(?<![\d.])[a-z]+|[()]+"
+_FIRST, _RING = r"^\s*(?:<[^>]*>)?[\sa-zA-Z(]*([^,()]*)", r"\(([^()]*)\)"
 
 
 def _col(c: str | Column) -> Column:
@@ -22,12 +25,18 @@ def crs_of(wkt: str | Column) -> Column:
 
 def coordinates(wkt: str | Column) -> Column:
     """All coordinate pairs, in order."""
-    body = F.regexp_replace(_col(wkt), r"^\s*<[^>]*>", "")
-    pairs = F.split(F.regexp_replace(body, r"(?i)[a-z()]+", " "), ",")
+    body = F.regexp_replace(_col(wkt), _IRI, "")
+    pairs = F.split(F.regexp_replace(body, _WORDS, " "), ",")
     numbers = F.transform(pairs, lambda p: F.split(F.trim(p), r"\s+"))
     return F.transform(numbers, lambda n: F.struct(F.get(n, F.lit(0)).cast("double").alias("x"), F.get(n, F.lit(1)).cast("double").alias("y")))
 
 
+def first_point(wkt: str | Column) -> Column:
+    """The first coordinate pair."""
+    numbers = F.split(F.regexp_extract(_col(wkt), _FIRST, 1), r"\s+")
+    return G._let(numbers, lambda n: F.struct(F.get(n, F.lit(0)).cast("double").alias("x"), F.get(n, F.lit(1)).cast("double").alias("y")))
+
+
 def edges_of(wkt: str | Column) -> Column:
     """Edges of all rings or lines; none between one ring and the next."""
 
@@ -36,14 +45,13 @@ def edges_of(wkt: str | Column) -> Column:
         edge = lambda i: F.struct(corner(i, 0)["x"].alias("x1"), corner(i, 0)["y"].alias("y1"), corner(i, 1)["x"].alias("x2"), corner(i, 1)["y"].alias("y2"))
         return F.when(F.size(shell) < 2, F.array().cast(G.EDGE_TYPE)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(shell) - 2, F.lit(0))), edge))
 
-    rings = F.regexp_extract_all(F.regexp_replace(_col(wkt), r"^\s*<[^>]*>", ""), F.lit(r"\(([^()]*)\)"), F.lit(1))
+    rings = F.regexp_extract_all(F.regexp_replace(_col(wkt), _IRI, ""), F.lit(_RING), F.lit(1))
     return F.flatten(F.transform(F.transform(rings, coordinates), of_ring))
 
 
 def _relation(a: str | Column, b: str | Column, test) -> Column:
     same = crs_of(a) == crs_of(b)
-    p = F.get(coordinates(a), F.lit(0))
-    held = G._let(p, lambda q: test(q["x"], q["y"], edges_of(b)))
+    held = G._let(F.struct(first_point(a).alias("p"), edges_of(b).alias("e")), lambda t: test(t["p"]["x"], t["p"]["y"], t["e"]))
     return F.when(same, held).otherwise(F.raise_error(F.lit("geometries in different reference systems")).cast("boolean"))
 
 

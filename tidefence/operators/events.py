@@ -67,8 +67,9 @@ def relations(moves: DataFrame, regions: list[Region]) -> Column:
 
 def membership(moves: DataFrame, regions: list[Region]) -> DataFrame:
     """A row for each move and region of the same system: covered (boundary included), strict, on_boundary."""
-    # as a column of its own the array is compiled, which a generator's argument is not if it holds a lambda
-    out = moves.withColumn("_relations", relations(moves, regions)).select("*", F.inline("_relations")).filter("same").drop("_relations", "same")
+    # as a column of its own the array is compiled, which a generator's argument is not if it holds a lambda; the outer form as Spark
+    # filters by the array's size before the plain one, which computes it, and what the points come from, once more
+    out = moves.withColumn("_relations", relations(moves, regions)).select("*", F.inline_outer("_relations")).filter("same").drop("_relations", "same")
     return out.withColumn("strict", ~F.col("on_boundary") & F.col("odd")).withColumn("covered", F.col("on_boundary") | F.col("odd")).drop("odd")
 
 

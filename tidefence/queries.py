@@ -584,13 +584,12 @@ def wkt_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions import wkt as W
 
     text = T.point_wkt(F.col("x"), F.col("y"), F.lit(CRS))
-    m = moves(spark, sf_dir).withColumn("text", text).withColumn("p", F.get(W.coordinates("text"), F.lit(0)))
-    # five rows of fixed size
-    zones = region_table(spark, ZONES).select(F.col("name").alias("region"), T.polygon_wkt(F.col("shell"), F.col("crs")).alias("text"))
-    zones = zones.select("region", W.edges_of("text").alias("e"))
-    x, y, e = F.col("p.x"), F.col("p.y"), F.col("e")
-    pairs = m.crossJoin(F.broadcast(zones))
-    return pairs.select("subject", "seq", "region", G.within(x, y, e).alias("within"), G.covered_by(x, y, e).alias("intersects"), G.on_boundary(x, y, e).alias("touches"))
+    m = moves(spark, sf_dir).withColumn("text", text).withColumn("p", W.first_point("text")).select("subject", "seq", "p.x", "p.y")
+    # five rows of fixed size; their corners are compiled into the scan of the moves
+    zones = region_table(spark, ZONES).coalesce(1).select("name", "rank", T.polygon_wkt(F.col("shell"), F.col("crs")).alias("text"))
+    zones = zones.select("name", "rank", W.crs_of("text").alias("crs"), W.coordinates("text").alias("corners")).orderBy("rank").collect()
+    pairs = E.membership(m, [Region.closed(z["name"], z["corners"], z["crs"], z["rank"]) for z in zones])
+    return pairs.select("subject", "seq", "region", F.col("strict").alias("within"), F.col("covered").alias("intersects"), F.col("on_boundary").alias("touches"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
