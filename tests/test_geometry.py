@@ -165,6 +165,15 @@ def test_wkt_relations_compute_a_move_once(spark, tmp_path):
     assert got[2, "Tri"] == outside and all(v == outside for (seq, _), v in got.items() if seq == 3)
 
 
+def test_sql_relations_of_a_pair_are_one_expression(spark):
+    W.register(spark)
+    df = spark.createDataFrame([("POINT (1e-07 0)", "POLYGON ((0 0, 1 0, 1 1, 0 0))"), (f"<{W.CRS84}> POINT (2 1.5E-1)", "POLYGON((0 0, 4 0, 0 4, 0 0))")], "p string, g string")
+    out = df.selectExpr("sf_within(p, g)", "sf_touches(p, g)", "sf_intersects(p, g)", "sf_disjoint(p, g)")
+    # nothing is parsed in a step of its own for each function: all four stand over the two texts, and Spark shares what is equal
+    assert out._jdf.queryExecution().executedPlan().toString().count("Project") == 1
+    assert [tuple(r) for r in out.collect()] == [(False, True, True, False), (True, False, True, False)]
+
+
 def test_wkt_polygons_with_holes(spark):
     from tidefence.functions import wkt as W
 
